@@ -1,7 +1,7 @@
 """Column functions: every one is a plain built-in expression."""
 
 from .dates import (
-    day_before_default,
+    next_day,
     iso_timestamp,
     is_weekend,
     iso_weekday,

@@ -30,7 +30,7 @@ def lead_time_days(delivery: Column, created: Column) -> Column:
     return F.datediff(delivery, created)
 
 
-def day_before_default(created: Column) -> Column:
+def next_day(created: Column) -> Column:
     """Default delivery date: the day after the order."""
     return F.date_add(created, 1)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE_COLUMNS, DEFAULT_ORDER_TIME, LABEL, UNKNOWN
-from ..functions.dates import day_before_default, parse_date, without_placeholder
+from ..functions.dates import next_day, parse_date, without_placeholder
 from ..functions.labels import shortage_label
 
 MASTER_COLUMNS = ("vendorName", "category", "temperatureCondition")
@@ -100,7 +100,7 @@ def app_clean(sales: DataFrame) -> DataFrame:
     df = text_product_code(sales).withColumn("delivered_qty", F.coalesce("delivered_qty", F.lit(0.0)))
     df = add_unknown_master(add_label(df))
     if "requested_delivery_date" not in df.columns:
-        df = df.withColumn("requested_delivery_date", day_before_default(F.col("order_created_date")))
+        df = df.withColumn("requested_delivery_date", next_day(F.col("order_created_date")))
     return df.withColumn(
         "lead_time_days", F.datediff("requested_delivery_date", "order_created_date")
     )
@@ -125,5 +125,5 @@ def with_order_defaults(orders: DataFrame) -> DataFrame:
     if "order_created_time" not in orders.columns:
         extra["order_created_time"] = F.lit(DEFAULT_ORDER_TIME).cast("bigint")
     if "requested_delivery_date" not in orders.columns:
-        extra["requested_delivery_date"] = day_before_default(F.col("order_created_date"))
+        extra["requested_delivery_date"] = next_day(F.col("order_created_date"))
     return orders.withColumns(extra) if extra else orders
