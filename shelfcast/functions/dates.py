@@ -7,8 +7,13 @@ from ..config import PLACEHOLDER_DATE, WEEKEND_FROM
 
 
 def parse_date(text: Column) -> Column:
-    """``yyyy-MM-dd`` text to a date; anything else becomes null."""
-    return F.try_to_date(text, "yyyy-MM-dd")
+    """``yyyy-MM-dd`` text to a date; anything else becomes null.
+
+    The cast is the fast path of the engine but also takes forms like ``2025-1-3``,
+    so the shape is tested first. A pattern-based parser would raise and catch an
+    exception for every bad value.
+    """
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
 
 
 def without_placeholder(date: Column) -> Column:

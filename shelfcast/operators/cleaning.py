@@ -53,13 +53,15 @@ def text_product_code(df: DataFrame) -> DataFrame:
 def clean_orders(sales: DataFrame) -> DataFrame:
     """Clean, labelled, distinct order lines.
 
-    One projection followed by one duplicate-removing aggregation: copies are
-    folded inside each map task before anything is shuffled.
+    Copies are folded inside each map task before anything is shuffled. Columns
+    that follow from others are added afterwards, to keep the compared row short.
     """
-    df = drop_placeholder_dates(parse_dates(sales))
-    df = add_label(fill_quantities(df))
-    df = fill_unknown(add_unknown_master(df))
-    return text_product_code(df).dropDuplicates()
+    return add_unknown_master(add_label(_distinct_lines(sales)))
+
+
+def _distinct_lines(sales: DataFrame) -> DataFrame:
+    df = fill_unknown(fill_quantities(drop_placeholder_dates(parse_dates(sales))))
+    return text_product_code(df.dropDuplicates())
 
 
 def product_master(products: DataFrame) -> DataFrame:
@@ -84,9 +86,7 @@ def clean_orders_with_products(sales: DataFrame, products: DataFrame) -> DataFra
     shuffle. Distinct lines joined to distinct master rows are distinct, so the
     result is the same as removing duplicates afterwards.
     """
-    df = drop_placeholder_dates(parse_dates(sales))
-    df = add_label(fill_quantities(df))
-    df = text_product_code(fill_unknown(df)).dropDuplicates()
+    df = add_label(_distinct_lines(sales))
     master = fill_unknown(product_master(products), MASTER_COLUMNS).dropDuplicates()
     return fill_unknown(df.join(master, "product_code", "left"), MASTER_COLUMNS)
 

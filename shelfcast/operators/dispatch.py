@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as c
@@ -26,13 +26,13 @@ def risk_levels(spark: SparkSession) -> DataFrame:
 
 def risk_summary(predictions: DataFrame) -> DataFrame:
     """Orders and percentage per risk level; absent levels show 0."""
-    counts = predictions.groupBy("risk_level").agg(F.count("*").alias("orders"))
+    counts = predictions.groupBy("risk_level").agg(F.count("*").alias("_n"))
     levels = risk_levels(predictions.sparkSession)
-    total = predictions.agg(F.count("*").alias("n")).first()["n"]
-    orders = F.coalesce(F.col("orders"), F.lit(0).cast("bigint"))
+    orders = F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
+    total = F.sum(orders).over(Window.partitionBy())  # over the four level rows
     return levels.join(counts, "risk_level", "left").select(
         "level_order", "risk_level", orders.alias("orders"),
-        (orders * 100.0 / F.nullif(F.lit(total), F.lit(0))).alias("pct"),
+        (orders * 100.0 / F.nullif(total, F.lit(0))).alias("pct"),
     )
 
 

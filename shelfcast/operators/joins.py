@@ -87,6 +87,7 @@ def attach(
     keys: Sequence[str],
     *,
     weights: DataFrame | None = None,
+    count_from: DataFrame | None = None,
     how: str = "left",
     null_safe: bool = False,
     small: bool | None = None,
@@ -97,8 +98,9 @@ def attach(
 
     ``lookup`` is counted first, so pass a stored table when it is costly, or say
     in ``small`` whether a count of what it derives from proved it to fit.
-    ``weights`` (keys, ``n_rows``) may give the rows per key of ``fact``; they are
-    counted when absent. A lookup column ``n_rows`` is not carried over.
+    ``weights`` (keys, ``n_rows``) may give the rows per key of ``fact``; when they
+    are needed and absent they are counted, in ``count_from`` if that is a cheaper
+    table with the same keys. A lookup column ``n_rows`` is not carried over.
     """
     lookup = lookup.drop(ROWS)
     if small is None:
@@ -106,5 +108,6 @@ def attach(
     if small:
         return _equi_join(fact, F.broadcast(lookup), keys, how, null_safe)
     if weights is None:
-        weights = materialize(fact.groupBy(*keys).agg(F.count("*").alias(ROWS)), "weights")
+        counted = (count_from if count_from is not None else fact).groupBy(*keys)
+        weights = materialize(counted.agg(F.count("*").alias(ROWS)), "weights")
     return salted_join(fact, lookup, keys, weights, how, null_safe, share)

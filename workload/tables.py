@@ -228,8 +228,13 @@ def _needed(sql: str, ctes: dict[str, str]) -> list[str]:
 
 
 def with_ctes(sql: str, ctes: dict[str, str]) -> str:
+    """``sql``, which may start with CTEs of its own, behind the CTEs it needs."""
+    sql = sql.strip()
     parts = [f"{name} AS ({ctes[name].strip()})" for name in _needed(sql, ctes)]
-    return f"WITH {', '.join(parts)} {sql.strip()}" if parts else sql.strip()
+    if not parts:
+        return sql
+    rest = f", {sql[len('WITH '):]}" if sql.startswith("WITH ") else f" {sql}"
+    return f"WITH {', '.join(parts)}{rest}"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
