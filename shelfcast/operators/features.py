@@ -9,7 +9,7 @@ from ..config import FEATURES, KEYS, LABEL, MAX_BROADCAST_ROWS
 from ..functions import dates as d
 from ..storage import materialize, materialize_all
 from .cleaning import drop_null_rows, select_existing
-from .joins import ROWS, attach, fits_broadcast
+from .joins import ROWS, attach, which_fit
 from .stats import replacement_counts, training_stats
 
 
@@ -29,17 +29,15 @@ def date_features(lines: DataFrame, year: bool = False) -> DataFrame:
     return lines.withColumns(columns)
 
 
-def replacement_feature(
-    lines: DataFrame, counts: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
+def replacement_feature(lines: DataFrame, counts: DataFrame, small: bool | None = None) -> DataFrame:
     """Replacement frequency per line, 0 for products never replaced."""
-    joined = attach(lines, counts, ["product_code"], max_broadcast_rows=max_broadcast_rows)
+    joined = attach(lines, counts, ["product_code"], small=small)
     return joined.withColumn(
         "replacement_frequency", F.coalesce("replacement_frequency", F.lit(0).cast("bigint"))
     )
 
 
-def _pair_table(stats: dict[str, DataFrame], limit: int) -> DataFrame:
+def _pair_table(stats: dict[str, DataFrame], small: dict[str, bool]) -> DataFrame:
     """Customer, product and replacement statistics at (customer, product) grain.
 
     There are far fewer such pairs than order lines. Joining the single-key tables
@@ -50,23 +48,27 @@ def _pair_table(stats: dict[str, DataFrame], limit: int) -> DataFrame:
     complete = F.col("customer_number").isNotNull() & F.col("product_code").isNotNull()
     names = ("customer_product_shortage_rate", "customer_product_order_count")
     pairs = pairs.withColumns({n: F.when(complete, F.col(n)) for n in names})
-    pairs = attach(pairs, stats["product"], ["product_code"], max_broadcast_rows=limit)
-    pairs = attach(pairs, stats["customer"], ["customer_number"], max_broadcast_rows=limit)
-    return replacement_feature(pairs, stats["replacements"], limit)
+    keyed = stats["customer_product"]
+    pairs = attach(
+        pairs, stats["product"], ["product_code"], count_from=keyed, small=small["product"]
+    )
+    pairs = attach(
+        pairs, stats["customer"], ["customer_number"], count_from=keyed, small=small["customer"]
+    )
+    return replacement_feature(pairs, stats["replacements"], small["replacements"])
 
 
 def attach_training_stats(
     lines: DataFrame, stats: dict[str, DataFrame], max_broadcast_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    limit = max_broadcast_rows
-    weights = stats["customer_product"].select("customer_number", "product_code", ROWS)
+    small = which_fit(stats, max_broadcast_rows)
     df = attach(
         lines,
-        _pair_table(stats, limit),
+        _pair_table(stats, small),
         ["customer_number", "product_code"],
-        weights=weights,
+        weights=stats["customer_product"].select("customer_number", "product_code", ROWS),
         null_safe=True,
-        small=fits_broadcast(weights, limit),
+        small=small["customer_product"],
     )
     for name, key in (
         ("category", "category"),
@@ -77,9 +79,7 @@ def attach_training_stats(
     ):
         if name in stats:
             table = stats[name]
-            df = attach(
-                df, table, [key], weights=table.select(key, ROWS), max_broadcast_rows=limit
-            )
+            df = attach(df, table, [key], weights=table.select(key, ROWS), small=small[name])
     return df
 
 

@@ -30,6 +30,17 @@ def fits_broadcast(lookup: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> boo
     return lookup.limit(max_rows + 1).count() <= max_rows
 
 
+def which_fit(
+    lookups: dict[str, DataFrame], max_rows: int = MAX_BROADCAST_ROWS
+) -> dict[str, bool]:
+    """``fits_broadcast`` for several tables with one job."""
+    counts = [
+        df.limit(max_rows + 1).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        for name, df in lookups.items()
+    ]
+    return {r["name"]: r["n"] <= max_rows for r in reduce(DataFrame.unionAll, counts).collect()}
+
+
 def _equi_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool
 ) -> DataFrame:
