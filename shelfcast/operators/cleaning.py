@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DATE_COLUMNS, DEFAULT_ORDER_TIME, LABEL, UNKNOWN
 from ..functions.dates import next_day, parse_date, without_placeholder
 from ..functions.labels import shortage_label
+from .joins import attach, fits_broadcast
 
 MASTER_COLUMNS = ("vendorName", "category", "temperatureCondition")
 
@@ -72,11 +73,15 @@ def product_master(products: DataFrame) -> DataFrame:
 def join_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Order lines with their product attributes.
 
-    A code listed several times in the master multiplies its lines. The join is
-    a plain equi-join of two scans, where adaptive execution picks a broadcast
-    from the measured size or splits the partitions of hot codes.
+    A code listed several times in the master multiplies its lines. A master that
+    a count shows to be small is broadcast, so the lines are not shuffled; beyond
+    that hot codes are salted.
     """
-    return text_product_code(lines).join(product_master(products), "product_code", "left")
+    codes = text_product_code(lines.select("product_code"))
+    return attach(
+        text_product_code(lines), product_master(products), ["product_code"],
+        count_from=codes, small=fits_broadcast(products),
+    )
 
 
 def clean_orders_with_products(sales: DataFrame, products: DataFrame) -> DataFrame:
@@ -88,7 +93,11 @@ def clean_orders_with_products(sales: DataFrame, products: DataFrame) -> DataFra
     """
     df = add_label(_distinct_lines(sales))
     master = fill_unknown(product_master(products), MASTER_COLUMNS).dropDuplicates()
-    return fill_unknown(df.join(master, "product_code", "left"), MASTER_COLUMNS)
+    joined = attach(
+        df, master, ["product_code"],
+        count_from=text_product_code(sales.select("product_code")), small=fits_broadcast(products),
+    )
+    return fill_unknown(joined, MASTER_COLUMNS)
 
 
 def app_clean(sales: DataFrame) -> DataFrame:

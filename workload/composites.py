@@ -6,12 +6,14 @@ from shelfcast.config import FEATURES
 from shelfcast.learners import fit_logistic, score
 from shelfcast.operators import dispatch
 from shelfcast.operators import requests as rq
+from shelfcast.operators.cleaning import app_clean
 from shelfcast.operators.explain import explain, explain_text
 from shelfcast.operators.features import engineer_features
 from shelfcast.operators.serving import serve_features
 from shelfcast.operators.stats import serving_stats, stored
 from shelfcast.plans import prepare_from_sales, product_status
-from shelfcast.storage import materialize
+from shelfcast.sources import read_sales_typed
+from shelfcast.storage import fresh_path, materialize
 
 from . import shared
 from .aggregates import SPLIT_SQL, split_lines
@@ -29,6 +31,26 @@ def f2(spark, d):
     return shared.enriched(spark, d)
 
 
+@query(
+    "f1_interactive_variant",
+    """SELECT order_number, CAST(product_code AS VARCHAR) AS product_code,
+       TRY_CAST(order_created_date AS DATE) AS order_created_date, order_qty,
+       coalesce(delivered_qty, 0) AS delivered_qty, picking_picked_qty,
+       CAST(order_qty > coalesce(delivered_qty, 0)
+            OR (coalesce(delivered_qty, 0) = 0 AND order_qty > 0) AS TINYINT) AS is_shortage,
+       CAST(TRY_CAST(requested_delivery_date AS DATE) - TRY_CAST(order_created_date AS DATE) AS INTEGER)
+         AS lead_time_days, 'UNKNOWN' AS vendorName FROM sales""",
+)
+def f1_interactive(spark, d):
+    """Lines read with parsed dates: copies, placeholder dates and missing picks stay."""
+    path = fresh_path(spark, "sales")
+    view(spark, d, "sales").write.option("header", True).csv(path)
+    return app_clean(read_sales_typed(spark, path)).select(
+        "order_number", "product_code", "order_created_date", "order_qty", "delivered_qty",
+        "picking_picked_qty", "is_shortage", "lead_time_days", "vendorName",
+    )
+
+
 _KEYS = ("is_shortage", "order_created_date", "order_number", "product_code", "customer_number")
 _EXACT = {
     "order_day_of_week", "order_day_of_month", "order_month", "order_quarter", "is_weekend",

@@ -1,6 +1,7 @@
 """The input tables of the engine, shaped from the given ones.
 
-``VIEWS`` is SQL that runs unchanged in Spark and in the checking database;
+``VIEWS`` is SQL that runs unchanged in Spark and in the checking database, except
+that Spark takes the cheaper form in ``ONE_PASS``;
 ``CTES`` adds intermediate results in the checking database's dialect only, so
 that the reference SQL is independent of the Spark code.
 """
@@ -59,6 +60,14 @@ SELECT CASE WHEN order_number % 2 = 0
 FROM scored WHERE shortage_probability >= 0.5 AND order_number % 7 = 0""",
 }
 
+# The same rows in one pass over the given tables: copies by repetition, not by a
+# second scan and join.
+ONE_PASS = {
+    "sales": """
+SELECT * EXCEPT (copy) FROM sales_base
+LATERAL VIEW explode(sequence(1, CASE WHEN order_number % 101 = 0 THEN 2 ELSE 1 END)) AS copy""",
+}
+
 # Reference results that several checks build on.
 CTES = {
     **VIEWS,
@@ -240,7 +249,7 @@ def with_ctes(sql: str, ctes: dict[str, str]) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table of the engine, read from the parquet files in ``sf_dir``."""
     given = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in GIVEN}
-    return spark.sql(with_ctes(f"SELECT * FROM {name}", {**given, **VIEWS}))
+    return spark.sql(with_ctes(f"SELECT * FROM {name}", {**given, **VIEWS, **ONE_PASS}))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
