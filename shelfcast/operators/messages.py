@@ -43,6 +43,10 @@ REQUEST_PROMPT = (
     "Constraints:\n- 2–3 sentences.\n"
     "- Don't mention that you are an AI or that this comes from a dataset.\n"
 )
+REQUEST_ROLE = (
+    "You are a supply-chain assistant for %s. You write clear, polite messages for business customers "
+    "about stock shortage risks.\n"
+)
 MAIL_SUBJECT = "%s Order Stats: %s shortage risk for order %s"
 MAIL_BODY = (
     "Dear customer,<br><br>\nHere is an update on your order:<br><br>\n"
@@ -50,6 +54,7 @@ MAIL_BODY = (
     "<b>Shortage risk level:</b> %s<br>\n<b>Shortage probability:</b> %s<br><br>\n\n"
     "<b>Recommended action:</b><br>\n%s<br><br>\n\nBest regards,<br>\n%s Support<br>\n"
 )
+MAIL_CONTACT = "(%s)\n"
 ERROR_TEXT = (
     "Invalid order details: we couldn’t find a matching combination of orderNumber, productCode, "
     "customerNumber and orderQty in the shortage dataset. Please double-check your inputs."
@@ -90,16 +95,22 @@ def request_prompt() -> Column:
     )
 
 
+def request_role(company: str = COMPANY) -> Column:
+    """Standing instruction that goes with every request prompt."""
+    return F.format_string(REQUEST_ROLE, F.lit(company))
+
+
 def mail_subject(company: str = COMPANY) -> Column:
     return F.format_string(MAIL_SUBJECT, F.lit(company), F.col("risk_level"), _numbers()[0])
 
 
-def mail_body(company: str = COMPANY) -> Column:
+def mail_body(company: str = COMPANY, contact: str | None = None) -> Column:
     order, product, _, qty = _numbers()
-    return F.format_string(
+    body = F.format_string(
         MAIL_BODY, order, product, qty, F.col("risk_level"),
         percent_two(F.col("shortage_probability")), F.col("recommended_action"), F.lit(company),
     )
+    return body if contact is None else F.concat(body, F.format_string(MAIL_CONTACT, F.lit(contact)))
 
 
 def error_body() -> Column:

@@ -55,12 +55,15 @@ def route(looked_up: DataFrame) -> DataFrame:
     return looked_up.withColumn("status", F.when(found, FOUND).otherwise(NOT_FOUND)).drop("_order")
 
 
-def found_messages(routed: DataFrame, company: str = m.COMPANY) -> DataFrame:
+def found_messages(
+    routed: DataFrame, company: str = m.COMPANY, contact: str | None = None
+) -> DataFrame:
     return routed.where(F.col("status") == FOUND).withColumns(
         {
+            "role": m.request_role(company),
             "prompt": m.request_prompt(),
             "mail_subject": m.mail_subject(company),
-            "mail_body": m.mail_body(company),
+            "mail_body": m.mail_body(company, contact),
         }
     )
 

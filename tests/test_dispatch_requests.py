@@ -168,6 +168,9 @@ def test_messages(spark, action_list):
     assert mail["mail_subject"] == f"Acme Order Stats: {c.CRITICAL} shortage risk for order 1"
     assert "<b>Shortage probability:</b> 95.00%<br>" in mail["mail_body"]
     assert "- Product code: 77\n" in mail["prompt"]
+    signed = rq.found_messages(routed, "Acme", "help@acme.test").where("order_number = 1").first()
+    assert signed["mail_body"] == mail["mail_body"] + "(help@acme.test)\n"
+    assert mail["role"].startswith("You are a supply-chain assistant for Acme.")
     errors = rq.error_rows(routed).collect()
     assert len(errors) == 3 and {r["success"] for r in errors} == {"false"}
     assert any("orderQty: 9" in r["mail_body"] for r in errors)

@@ -7,7 +7,7 @@ from shelfcast.operators.cleaning import product_master
 from shelfcast.operators.explain import explain
 from shelfcast.operators.stats import serving_stats, stored
 from shelfcast.operators.substitutes import substitutes
-from shelfcast.plans import best_model, compare, prepare_from_sales, product_status, run_dispatch, train_models
+from shelfcast.plans import best_model, compare, prepare_from_sales, product_status, run_dispatch, sample_orders, train_models
 from shelfcast.sources import one_order, product_stub
 from workload.tables import view
 
@@ -74,15 +74,12 @@ def test_missing_feature_is_still_scored(models, data):
 
 def test_dispatch_of_new_orders(spark, data, models, stats, tmp_path):
     products, replacements = view(spark, SF, "products"), view(spark, SF, "replacements")
-    orders = data.features.select(
-        "order_number", "order_created_date", "customer_number", "product_code", "order_qty", "plant",
-        "storage_location",
-    ).where("order_created_date >= '2000-06-01'")
+    orders = sample_orders(data.features, data.test, 500)
     subs = substitutes(product_master(products), replacements, 3)
     predictions, todo = run_dispatch(
         orders, stats, best_model(models), subs, str(tmp_path / "p"), str(tmp_path / "a")
     )
-    assert predictions.count() == orders.count() > 0
+    assert predictions.count() == orders.count() == 500
     assert todo.count() == predictions.where("shortage_probability >= 0.5").count() > 0
     assert spark.read.option("header", True).csv(str(tmp_path / "a")).count() == todo.count()
     top = explain(predictions, best_model(models).importances)
