@@ -26,8 +26,12 @@ ROWS = "n_rows"  # rows per key, carried by statistics tables as join weights
 
 
 def fits_broadcast(lookup: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether a count proves that ``lookup`` has at most ``max_rows`` rows."""
-    return lookup.limit(max_rows + 1).count() <= max_rows
+    """Whether a count proves that ``lookup`` has at most ``max_rows`` rows.
+
+    For a stored table the count comes from file footers. A limit would not make
+    it cheaper: every task would send its rows up to the limit to a single one.
+    """
+    return lookup.count() <= max_rows
 
 
 def which_fit(
@@ -35,7 +39,7 @@ def which_fit(
 ) -> dict[str, bool]:
     """``fits_broadcast`` for several tables with one job."""
     counts = [
-        df.limit(max_rows + 1).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         for name, df in lookups.items()
     ]
     return {r["name"]: r["n"] <= max_rows for r in reduce(DataFrame.unionAll, counts).collect()}
