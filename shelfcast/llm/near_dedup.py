@@ -2,14 +2,14 @@
 
 1. One pass over the texts gives every document the size of its shingle set, a 128-bit
    hash of its words and one key per band; equal word sequences then count as one text.
-2. In each bucket of a band the smallest text is the hub and every other is checked
-   against it, so a bucket costs as many checks as it has members, whatever its size.
-3. Checks compare full shingle sets. Confirmed links give components.
-4. Where a bucket still holds several components, each component's hub in the bucket is
-   checked against the members of the others, several times with other hubs; what is
-   not connected then is checked pair by pair across components. No pair within a
-   component is ever formed, and no link between different texts is left out.
-
+2. In each bucket of a band the text with most bucket mates is the hub and every other
+   is checked against it: as many checks as members. Confirmed links give components.
+3. Where a bucket still holds several components, its texts meet in blocks of bounded
+   size, each in one task, and their full shingle sets are compared there by matrix
+   products. Only links that join components leave a task, never pairs.
+
+All checks compare full shingle sets; no two texts that share a bucket and are not yet
+connected go unchecked, so no link between different texts is lost.
 With 32 bands of 4 places a pair at similarity 0.75 shares a bucket with probability
 1 - 5e-6, and a likelier pair with more.
 
@@ -38,8 +38,8 @@ WORDS = 5
 #: Similarity from which texts are linked, in hundredths.
 LEAST = 75
 PLACES, BANDS = 128, 32
-#: Rounds of hubs before pairs across components are checked one by one.
-HUB_ROUNDS = 3
+#: Texts and shingles of a block, in which the texts of a bucket are compared with each other.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 500_000
 _CACHED_SHINGLES = 2_000_000
 
 
@@ -106,6 +106,80 @@ def _checks(words: int, least: int):
     return run
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices over the shingles that several sets hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    terms, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    many = n[at] > 1
+    owner, at = owner[many], column[at[many]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    total = np.zeros((len(sets), len(sets)))
+    width = 4096
+    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        low, high = np.searchsorted(at, [begin, begin + width])
+        part = np.zeros((len(sets), min(width, int(at[-1]) + 1 - begin)), np.float32)
+        part[owner[low:high], at[low:high] - begin] = 1
+        total += part @ part.T
+    return total
+
+
+def _met(words: int, least: int):
+    """For texts sorted by block of a bucket: links that join components, found by comparing all full sets of a block."""
+
+    def joined(rows: list[tuple], sets: list[np.ndarray]):
+        labels = np.array([r[1] for r in rows])
+        if (labels == labels[0]).all():
+            return
+        sizes = np.array([len(s) for s in sets])
+        common = _common(sets)
+        near = 100 * common >= least * (sizes[:, None] + sizes - common)
+        near &= labels[:, None] != labels
+        tops = {x: x for x in labels.tolist()}
+
+        def top(x):
+            while tops[x] != x:
+                x = tops[x]
+            return x
+
+        for x, y in zip(*np.nonzero(np.triu(near, 1))):
+            one, two = top(int(labels[x])), top(int(labels[y]))
+            if one != two:
+                tops[max(one, two)] = min(one, two)
+                yield rows[x][0], rows[y][0]
+
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        held: list[tuple] = []
+        last = None
+
+        def block():
+            found = shingles([press.decompress(r[2]) for r in held], words)
+            return list(joined(held, distinct(*found)))
+
+        for batch in batches:
+            links = []
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "label", "packed")]
+            for key, i, j, node, label, packed in zip(*columns):
+                if (key, i, j) != last and held:
+                    links += block()
+                    held = []
+                last = (key, i, j)
+                held.append((node, label, packed))
+            yield _link_rows(links)
+        if held:
+            yield _link_rows(block())
+
+    return run
+
+
+def _link_rows(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
     """Checks stored ``pairs`` (a, b); returns all of them with ``near``, stored."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"), F.col("n_shingles").alias("n_a")), "a")
@@ -124,42 +198,41 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col:
     texts_ids = signed.where("mark is not null").groupBy("mark", "node").agg(
         F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("own")
     )
-    texts_ids = materialize(texts_ids, "texts")
-    texts = signed.where("mark is not null").select("node", "mark", "n_shingles", "packed", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("own"))
-    texts = texts.join(texts_ids.select("mark", "own"), ["mark", "own"], "left_semi").drop("own")
-    keyed = signed.where("mark is not null").select("node", F.explode("keys").alias("key"))
-
-    # buckets of more than one text; the smallest node of each is its hub
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    members = materialize(keyed.join(buckets.select("key", "hub"), "key").distinct(), "members")
-    pairs = materialize(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    texts_ids = materialize(texts_ids, "ids")
+    texts = signed.where("mark is not null").select("node", "mark", "n_shingles", "keys", "packed", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("own"))
+    texts = materialize(texts.join(texts_ids.select("mark", "own"), ["mark", "own"], "left_semi").drop("own"), "distinct")
+    keyed = texts.select("node", F.explode("keys").alias("key"))
+
+    # buckets of more than one text; the hub is the text with most bucket mates over all its
+    # bands: what copies were made from shares bands with more of them than they with each other
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = materialize(keyed.join(buckets, "key"), "shared")
+    mates = shared.groupBy("node").agg(F.sum("n").alias("mates"))
+    members = shared.select("key", "node").join(mates, "node")
+    hubs = members.groupBy("key").agg(F.max(F.struct("mates", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    found = members.join(hubs, "key").where("node <> hub")
+    pairs = materialize(found.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "pairs")
     checked = _confirmed(pairs, texts, words, least)
     links = checked.where("near").select("a", "b")
     labels = connected(links)
 
-    for level in range(HUB_ROUNDS + 1):
-        if members.isEmpty():
-            break
-        own = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed_keys = own.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
-        members = materialize(own.join(mixed_keys, "key", "left_semi"), "members")
-        if level < HUB_ROUNDS:
-            # another hub each time: the text whose hash with the round's number is smallest
-            hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(level)), "node", "label")).alias("h"))
-            found = members.join(hubs, "key").where(F.col("label") != F.col("h.label")).select(F.col("h.node").alias("x"), F.col("node").alias("y"))
-        else:
-            left = members.select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-            right = members.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-            found = left.join(right, ["key"]).where("lx < ly").select("x", "y")
-        new = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = materialize(new.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        more = _confirmed(new, texts, words, least)
-        checked = checked.unionByName(more)
-        if not more.where("near").isEmpty():
-            links = links.unionByName(more.where("near").select("a", "b"))
-            labels = connected(links)
+    # buckets that still hold several components: their texts meet in blocks
+    own = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sizes = texts.select("node", "n_shingles")
+    mixed_keys = own.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+    members = materialize(own.join(mixed_keys, "key", "left_semi").join(sizes, "node"), "mixed")
+    if not members.isEmpty():
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+        dealt = members.join(members.groupBy("key").agg(blocks.alias("blocks")), "key").select(
+            "key", "node", "label", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        )
+        placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
+        with_text = placed.join(texts.select("node", "packed"), "node")
+        order = ["key", "i", "j"]
+        met = with_text.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_met(words, least), "a long, b long")
+        more = materialize(met, "met")
+        if not more.isEmpty():
+            labels = connected(links.unionByName(more))
 
     labelled = texts_ids.join(labels, "node", "left").select("mark", "own", F.coalesce("label", "node").alias("label"))
     least_id = labelled.groupBy("label").agg(F.min("own").alias("component"))
