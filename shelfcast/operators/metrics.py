@@ -82,7 +82,7 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         Window.partitionBy(*by, RUN).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     )
     below = F.coalesce(F.sum("_neg").over(earlier), F.lit(0))
-    area = F.col("_pos") * (F.col("_inside") + F.col("_neg") / 2)
+    area = F.col("_pos").cast("double") * (F.col("_inside") + F.col("_neg") / 2)
     # One row per run: its area as if nothing came before, and its positives.
     per_run = (
         runs.withColumn("_inside", below)
@@ -90,8 +90,9 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .agg(F.sum(area).alias("_area"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     )
     placed = per_run.join(offsets, [*by, RUN])
-    total = F.sum("_pos") * F.sum("_neg")
-    value = F.sum(F.col("_area") + F.col("_pos") * F.col("_neg_before")) / total
+    # counts are cast before they are multiplied: their products exceed 64 bits
+    total = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
+    value = F.sum(F.col("_area") + F.col("_pos").cast("double") * F.col("_neg_before")) / total
     return placed.groupBy(*by).agg(F.when(total > 0, value).alias("roc_auc"))
 
 

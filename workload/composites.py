@@ -194,7 +194,7 @@ def f7(spark, d):
 def f8(spark, d):
     """New orders scored by a model fitted on the lines before them."""
     data = prepare_from_sales(view(spark, d, "sales"), view(spark, d, "replacements"))
-    model = fit_logistic(data.train)
+    model = fit_logistic(data.train.where(F.col("order_created_date") < F.lit(_CUT).cast("date")))
     orders, stats = _new_orders(spark, d)
     scored = score(serve_features(orders, stats), model)
     return scored.select("order_number", "product_code", "predicted_shortage", "shortage_probability")

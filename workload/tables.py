@@ -57,7 +57,7 @@ FROM (SELECT DISTINCT * FROM sales)""",
 SELECT CASE WHEN order_number % 2 = 0
             THEN concat('{"orderNumber":"', order_number, '","productCode":"', product_code, '","customerNumber":', customer_number, ',"orderQty":', order_qty + CASE WHEN order_number % 5 = 0 THEN 1000 ELSE 0 END, ',"customerEmail":" c', customer_number, '@example.com "}')
             ELSE concat('{"body":{"orderNumber":', order_number, ',"productCode":', product_code, ',"customerNumber":', customer_number, ',"orderQty":', order_qty + CASE WHEN order_number % 5 = 0 THEN 1000 ELSE 0 END, '}}') END AS payload
-FROM scored WHERE shortage_probability >= 0.5 AND order_number % 7 = 0""",
+FROM scored""",
 }
 
 # The same rows in one pass over the given tables: copies by repetition, not by a
