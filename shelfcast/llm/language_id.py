@@ -3,7 +3,9 @@
 Training counts the character 5-grams of all training texts in Spark: tasks fold their
 own texts first, then counts meet by (language, n-gram). Counts of counts give the
 discounts and the smallest count to keep, so that a language's model has at most
-``MOST_NGRAMS`` entries; that bound, not the corpus, sets what the driver gathers.
+``most_ngrams`` entries. That bound grows with the language's text, by ``MOST_NGRAMS``
+for each doubling beyond ``SYMBOLS``, so a larger corpus gives a larger model while
+what the driver gathers and broadcasts stays small: 5.5 million at 10^14 symbols.
 Lower orders use continuation counts. A model is a sorted array of n-gram hashes with
 probabilities, and one of context hashes with back-off weights, per order.
 
@@ -33,8 +35,8 @@ from .shingles import mix
 
 ORDER = 5
 UNKNOWN = "und"
-#: N-grams kept per language; rarer ones are left out of the model.
-MOST_NGRAMS = 250_000
+#: N-grams kept per language of so many symbols, and again for each doubling; rarer ones are left out of the model.
+MOST_NGRAMS, SYMBOLS = 250_000, 50_000_000
 #: Texts are rejected above this quantile of training texts plus this many nats a character.
 QUANTILE, MARGIN = 0.999, 1.0
 _BITS = 12
@@ -240,17 +242,22 @@ class LanguageModels:
         return sums, n, letters
 
 
+def most_ngrams(symbols: int) -> int:
+    """N-grams kept for a language whose training texts have so many symbols."""
+    return int(MOST_NGRAMS * (1 + np.log2(1 + symbols / SYMBOLS)))
+
+
 def train(texts: DataFrame) -> LanguageModels:
     """Models from all rows of ``text``, ``lang``; nulls are left out."""
     rows = texts.where("text is not null and lang is not null").select("text", "lang")
     counted = rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = materialize(counted, "ngrams")
     step = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.lit(1000) + F.floor(F.log2("n") * 8)).cast("int")
-    spread = counts.groupBy("lang", step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).toPandas()
+    spread = counts.groupBy("lang", step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.sum("n").alias("symbols")).toPandas()
     kept, of_counts = [], {}
     for lang, own in spread.groupby("lang"):
         own = own.sort_values("step", ascending=False)
-        inside = own[own.k.cumsum() <= MOST_NGRAMS]
+        inside = own[own.k.cumsum() <= most_ngrams(int(own.symbols.sum()))]
         kept.append((lang, int(inside.n.min()) if len(inside) else int(own.n.max())))
         of_counts[lang] = {int(n): int(k) for n, k in zip(own.n, own.k) if n <= 2}
     if not kept:
@@ -273,7 +280,7 @@ def predict(docs: DataFrame, models: LanguageModels, *keep: Column) -> DataFrame
     picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     added = "lang_pred string, score double, cross_entropy double, n_symbols long"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by MOST_NGRAMS for each language
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by most_ngrams for each language
 
     def run(batches):
         own = shared.value
