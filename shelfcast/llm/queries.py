@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path
-from . import fingerprints, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, token_files, tool_calls
+from . import fingerprints, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, runs, token_files, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +216,31 @@ FROM placed
 def op10(spark, sf_dir):
     rows = mixing.taken(table(spark, sf_dir, "documents"))
     return rows.withColumn("target", F.round("target", 6))
+
+
+# A tenth of the texts, by the id's hash, repeats a stretch of its words to the end.
+_OP13_EDITED = """
+WITH hashed AS (SELECT doc_id, text, crc32(CAST(doc_id AS string)) AS h FROM {documents}),
+split AS (
+  SELECT doc_id, text, h DIV 10 AS g, CASE WHEN h % 10 = 0 THEN regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0) END AS words FROM hashed
+),
+cut AS (SELECT *, size(words) AS n, CASE WHEN size(words) > 0 THEN g % size(words) END AS a FROM split),
+stretch AS (SELECT *, 1 + (n - a) DIV (3 + g % 8) AS p FROM cut)
+SELECT doc_id, CASE WHEN a IS NULL THEN text ELSE array_join(
+    transform(sequence(0, n - 1), i -> words[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS int)]), ' ') END AS text
+FROM stretch
+"""
+_OP13_DIGEST = """
+WITH best AS (SELECT *, array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period))) AS top FROM {found})
+SELECT doc_id, CAST(size(runs) AS bigint) AS n_runs, -top.start AS start, top.length AS length, -top.period AS period,
+  (1000 * top.length) DIV -top.period AS exponent_milli,
+  sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), ''), 256) AS runs_sha256,
+  sha2(collapsed, 256) AS collapsed_sha256
+FROM best
+"""
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    edited = spark.sql(_OP13_EDITED, documents=table(spark, sf_dir, "documents"))
+    return spark.sql(_OP13_DIGEST, found=runs.periodic_runs(edited))
