@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path
-from . import fingerprints, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, runs, token_files, tool_calls
+from . import decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, runs, token_files, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,6 +218,41 @@ def op10(spark, sf_dir):
     return rows.withColumn("target", F.round("target", 6))
 
 
+# All places of all documents against all windows, and every hit word listed.
+_OP12_SQL = """
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents
+),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM benchmark
+),
+piece AS (SELECT item_id, words, unnest(range(0, greatest(1, len(words) - 9))) AS pos FROM item WHERE len(words) > 0),
+win AS (SELECT DISTINCT item_id, array_to_string(words[pos + 1:pos + 10], ' ') AS txt, least(len(words), 10) AS size FROM piece),
+sizes AS (SELECT DISTINCT size FROM win),
+place AS (SELECT row, words, size, unnest(range(0, len(words) - size + 1)) AS pos FROM doc JOIN sizes ON len(words) >= size),
+hit AS (SELECT p.row, p.pos, p.size, w.item_id FROM place p JOIN win w ON w.size = p.size AND w.txt = array_to_string(p.words[p.pos + 1:p.pos + p.size], ' ')),
+hit_words AS (SELECT row, unnest(range(pos, pos + size)) AS pos FROM (SELECT DISTINCT row, pos, size FROM hit)),
+n_words_hit AS (SELECT row, count(DISTINCT pos) AS n FROM hit_words GROUP BY row),
+n_items_hit AS (
+  SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS varchar) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT d.doc_id, CAST(len(d.words) AS bigint) AS n_words, CAST(coalesce(w.n, 0) AS bigint) AS n_hit, CAST(coalesce(i.n, 0) AS bigint) AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(w.n, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN n_words_hit w USING (row) LEFT JOIN n_items_hit i USING (row)
+"""
+
+
+@query("op12_decontamination", _OP12_SQL)
+def op12(spark, sf_dir):
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 # A tenth of the texts, by the id's hash, repeats a stretch of its words to the end.
 _OP13_EDITED = """
 WITH hashed AS (SELECT doc_id, text, crc32(CAST(doc_id AS string)) AS h FROM {documents}),
