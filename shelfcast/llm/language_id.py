@@ -1,32 +1,36 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Training counts the character 5-grams of all training texts in Spark: tasks fold their
-own texts first, then counts meet by (language, n-gram). Counts of counts give the
-discounts and the smallest count to keep, so that a language's model has at most
-``most_ngrams`` entries. That bound grows with the language's text, by ``MOST_NGRAMS``
-for each doubling beyond ``SYMBOLS``, so a larger corpus gives a larger model while
-what the driver gathers and broadcasts stays small: 5.5 million at 10^14 symbols.
-Lower orders use continuation counts. A model is a sorted array of n-gram hashes with
-probabilities, and one of context hashes with back-off weights, per order.
+own texts first, then counts meet by (language, n-gram). Continuation counts of all lower
+orders are aggregations of the full table of the order above, and discounts come from the
+counts of counts of every order. Only then are rarer n-grams pruned, by their order's
+smallest kept count, and what their discounted probability was goes to the back-off weight
+of their context, so a context's probabilities still sum to one.
+
+A language's model has at most ``most_ngrams`` entries per order. That bound grows with the
+language's text, by ``MOST_NGRAMS`` for each doubling beyond ``SYMBOLS``, and all models
+together stay within ``MOST_BYTES``, which is checked on counts before anything is gathered.
+Executors pack a language's kept rows to a sorted array of n-gram hashes with probabilities,
+and one of context hashes with back-off weights, per order. The driver only passes these on.
 
 A text gets the language of lowest cross-entropy per character. It is rejected if that
 entropy is above what training texts of that language and length reach, by a margin.
 
 Cases: a null text and one without letters is ``und`` with score 0 and rejected; rows
 without a language do not train; repeated rows count as often as they come; without any
-training row every text is ``und``; very long texts are read in slices; other columns
-are not looked at, or pass unchanged.
+training row every text is ``und``; very long texts are read in slices; other columns,
+whatever their names, are not looked at, or pass unchanged.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -35,8 +39,10 @@ from .shingles import mix
 
 ORDER = 5
 UNKNOWN = "und"
-#: N-grams kept per language of so many symbols, and again for each doubling; rarer ones are left out of the model.
+#: N-grams of an order kept per language of so many symbols, and again for each doubling; rarer ones are left out of the model.
 MOST_NGRAMS, SYMBOLS = 250_000, 50_000_000
+#: All models together, and what an entry with its context takes at most.
+MOST_BYTES, ENTRY_BYTES = 256_000_000, 24
 #: Texts are rejected above this quantile of training texts plus this many nats a character.
 QUANTILE, MARGIN = 0.999, 1.0
 _BITS = 12
@@ -170,26 +176,21 @@ def _mask(order: int) -> np.uint64:
 
 
 class KneserNey:
-    """One language: per order, probabilities of seen n-grams and back-off weights of seen contexts."""
+    """One language: per order, probabilities of kept n-grams and back-off weights of their contexts.
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, counts_of_counts: dict[int, int], symbols: int):
+    ``levels`` has for each order from 1 the n-grams and their discounted shares of their contexts.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], symbols: int):
         self.uniform = 1.0 / max(2, symbols)
         self.seen: list[HashArray] = []
         self.backoff: list[HashArray] = []
-        levels = [(codes, counts.astype(np.float64))]
-        for order in range(ORDER - 1, 0, -1):
-            own, n = np.unique(levels[-1][0] & _mask(order), return_counts=True)
-            levels.append((own, n.astype(np.float64)))
-        for order, (own, n) in zip(range(1, ORDER + 1), reversed(levels)):
-            ones = counts_of_counts.get(1, 0) if order == ORDER else int((n == 1).sum())
-            twos = counts_of_counts.get(2, 0) if order == ORDER else int((n == 2).sum())
-            discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+        for order, (own, share) in enumerate(levels, 1):
             contexts, where = np.unique(own >> U(_BITS), return_inverse=True)
-            total = np.bincount(where, n)
-            weight = discount * np.bincount(where) / total
-            lower = self.probabilities(own & _mask(order - 1), order - 1) if order > 1 else self.uniform
-            self.backoff.append(HashArray.of(contexts, weight))
-            self.seen.append(HashArray.of(own, np.maximum(n - discount, 0) / total[where] + weight[where] * lower))
+            weight = np.maximum(1 - np.bincount(where, share, minlength=len(contexts)), 0)
+            lower = self.probabilities(own & _mask(order - 1), order - 1)
+            self.backoff.append(HashArray.of(contexts, weight.astype(np.float32)))
+            self.seen.append(HashArray.of(own, (share + weight[where] * lower).astype(np.float32)))
 
     def probabilities(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
         if order == 0:
@@ -209,70 +210,106 @@ class KneserNey:
 
 
 class LanguageModels:
-    """The models of all languages; n-grams known to any have one row of log-probabilities for all."""
+    """The models of all languages."""
 
     def __init__(self, models: dict[str, KneserNey]):
         self.languages = sorted(models)
         self.models = [models[x] for x in self.languages]
-        self.table: HashArray | None = None
-
-    def prepare(self, known: np.ndarray) -> None:
-        self.table = HashArray.of(known, self._rows(known).astype(np.float32))
-
-    def _rows(self, codes: np.ndarray) -> np.ndarray:
-        return np.log(np.stack([m.probabilities(codes) for m in self.models], axis=1))
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: summed log-probabilities by language, number of symbols, and whether it has letters."""
         codes, at = _codes(texts)
-        place = self.table.find(codes)
-        rows = np.empty((len(codes), len(self.languages)), np.float32)
-        hit = place >= 0
-        rows[hit] = self.table.values[place[hit]]
-        if not hit.all():
-            new, where = np.unique(codes[~hit], return_inverse=True)
-            rows[~hit] = self._rows(new)[where]
         n = np.diff(at)
         sums = np.zeros((len(texts), len(self.languages)))
         letters = np.zeros(len(texts), bool)
         some = n > 0
         if some.any():
-            sums[some] = np.add.reduceat(rows, at[:-1][some], axis=0, dtype=np.float64)
-            letters[some] = np.logical_or.reduceat((codes & _mask(1)) != 0, at[:-1][some])
+            begins = at[:-1][some]
+            distinct, where = np.unique(codes, return_inverse=True)
+            for i, model in enumerate(self.models):
+                sums[some, i] = np.add.reduceat(np.log(model.probabilities(distinct))[where], begins)
+            letters[some] = np.logical_or.reduceat((codes & _mask(1)) != 0, begins)
         return sums, n, letters
 
 
 def most_ngrams(symbols: int) -> int:
-    """N-grams kept for a language whose training texts have so many symbols."""
+    """N-grams of an order kept for a language whose training texts have so many symbols."""
     return int(MOST_NGRAMS * (1 + np.log2(1 + symbols / SYMBOLS)))
 
 
-def train(texts: DataFrame) -> LanguageModels:
-    """Models from all rows of ``text``, ``lang``; nulls are left out."""
+def ngrams(texts: DataFrame) -> DataFrame:
+    """Stored: ``lang``, ``order``, ``code`` and ``n``, the count of 5-grams and the continuation count of shorter ones."""
     rows = texts.where("text is not null and lang is not null").select("text", "lang")
-    counted = rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    counts = materialize(counted, "ngrams")
+    longest = rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    longest = materialize(longest, "ngrams")
+    all_, last = longest.select("lang", F.lit(ORDER).alias("order"), "code", "n"), longest
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.col("code").bitwiseAND(F.lit(int(_mask(order))))
+        last = last.groupBy("lang", suffix.alias("code")).agg(F.count("*").alias("n"))
+        all_ = all_.unionByName(last.select("lang", F.lit(order).alias("order"), "code", "n"))
+    return materialize(all_, "levels")
+
+
+def _limits(counts: DataFrame, most: int | None) -> list[tuple[str, int, int, float]]:
+    """Per language and order, the smallest count that is kept and the discount, from a histogram of counts.
+
+    Counts below 1000 have a step each, larger ones eight for each doubling.
+    """
     step = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.lit(1000) + F.floor(F.log2("n") * 8)).cast("int")
-    spread = counts.groupBy("lang", step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.sum("n").alias("symbols")).toPandas()
-    kept, of_counts = [], {}
-    for lang, own in spread.groupby("lang"):
-        own = own.sort_values("step", ascending=False)
-        inside = own[own.k.cumsum() <= most_ngrams(int(own.symbols.sum()))]
-        kept.append((lang, int(inside.n.min()) if len(inside) else int(own.n.max())))
-        of_counts[lang] = {int(n): int(k) for n, k in zip(own.n, own.k) if n <= 2}
-    if not kept:
+    spread: dict[tuple[str, int], list] = {}
+    for r in counts.groupBy("lang", "order", step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.sum("n").alias("sum")).collect():
+        spread.setdefault((r["lang"], r["order"]), []).append((r["n"], r["k"], r["sum"]))
+    symbols = {lang: sum(s for _, _, s in own) for (lang, order), own in spread.items() if order == ORDER}
+
+    def kept(share: float) -> tuple[int, dict]:
+        entries, least = 0, {}
+        for (lang, order), own in spread.items():
+            budget, taken = max(1, int(share * (most or most_ngrams(symbols[lang])))), 0
+            for n, k, _ in sorted(own, reverse=True):
+                # an order keeps at least its most frequent step; single symbols are all kept
+                if taken and taken + k > budget and order > 1:
+                    break
+                least[lang, order], taken = n, taken + k
+            entries += taken
+        return entries, least
+
+    share = 1.0
+    entries, least = kept(share)
+    while entries * ENTRY_BYTES > MOST_BYTES and share > 1e-4:
+        share /= 2
+        entries, least = kept(share)
+    made = []
+    for (lang, order), own in spread.items():
+        ones, twos = (sum(k for n, k, _ in own if n == wanted) for wanted in (1, 2))
+        made.append((lang, order, least[lang, order], min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1))
+    return made
+
+
+def _packed(symbols: int):
+    def run(table: pa.Table) -> pa.Table:
+        order, code, share = (table.column(c).to_numpy() for c in ("order", "code", "share"))
+        levels = [(code[order == o].astype(U), share[order == o]) for o in range(1, ORDER + 1)]
+        model = pickle.dumps(KneserNey(levels, symbols))
+        return pa.table({"lang": table.column("lang")[:1], "model": pa.array([model], pa.binary())})
+
+    return run
+
+
+def train(texts: DataFrame, most: int | None = None) -> LanguageModels:
+    """Models from all rows of ``text``, ``lang``; nulls are left out. ``most`` sets the entries of an order."""
+    counts = ngrams(texts)
+    limits = _limits(counts, most)
+    if not limits:
         return LanguageModels({})
-    enough = F.lit(False)
-    for lang, least in kept:
-        enough |= (F.col("lang") == lang) & (F.col("n") >= least)
-    table: pd.DataFrame = counts.where(enough).toPandas().sort_values(["lang", "code"])
-    symbols = len(np.unique(table.code.to_numpy() & int(_mask(1)))) + 1
-    models = {
-        lang: KneserNey(own.code.to_numpy().astype(U), own.n.to_numpy(), of_counts[lang], symbols) for lang, own in table.groupby("lang")
-    }
-    built = LanguageModels(models)
-    built.prepare(np.unique(table.code.to_numpy().astype(U)))
-    return built
+    symbols = counts.where("order = 1").select("code").distinct().count() + 1
+    # one row per language and order
+    known = F.broadcast(counts.sparkSession.createDataFrame(limits, "lang string, order int, least long, discount double"))
+    context = Window.partitionBy("lang", "order", F.shiftright("code", _BITS))
+    shares = counts.withColumn("total", F.sum("n").over(context)).join(known, ["lang", "order"]).where("n >= least")
+    shares = shares.select("lang", "order", "code", (F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("share"))
+    # bounded: what _limits keeps of a language, and MOST_BYTES for all
+    packed = shares.groupBy("lang").applyInArrow(_packed(symbols), "lang string, model binary")
+    return LanguageModels({r["lang"]: pickle.loads(r["model"]) for r in packed.toLocalIterator()})
 
 
 def predict(docs: DataFrame, models: LanguageModels, *keep: Column) -> DataFrame:
@@ -280,7 +317,7 @@ def predict(docs: DataFrame, models: LanguageModels, *keep: Column) -> DataFrame
     picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     added = "lang_pred string, score double, cross_entropy double, n_symbols long"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by most_ngrams for each language
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # within MOST_BYTES
 
     def run(batches):
         own = shared.value
@@ -338,6 +375,11 @@ def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
 
 def with_known_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rejected texts."""
-    gone = identified(docs, learn, id_col, text_col, lang_col).where("rejected").select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version")).distinct()
-    own = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_gone"))
-    return docs.join(gone, own & F.xxhash64(F.col(f"`{text_col}`")).eqNullSafe(F.col("_version")), "left_anti")
+    found = identified(docs, learn, id_col, text_col, lang_col).where("rejected")
+    gone = found.select(F.struct("doc_id", "version").alias("of")).distinct()
+    # the row's own columns stay inside a struct, so no name of theirs can clash
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("version")).alias("of"),
+    )
+    return keyed.alias("a").join(gone.alias("b"), F.col("a.of").eqNullSafe(F.col("b.of")), "left_anti").select("row.*")

@@ -113,13 +113,73 @@ def test_language_odd_texts(odd, empty):
     assert {r["lang_pred"] for r in language_id.identified(odd, F.lit(False)).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    codes, _ = language_id._codes(["abra cadabra alakazam", "abracadabra"])
-    own, n = np.unique(codes, return_counts=True)
-    symbols = np.unique(codes & language_id._mask(1))
-    model = language_id.KneserNey(own, n, {1: 5, 2: 2}, len(symbols))
-    context = (codes[7] >> np.uint64(12)) << np.uint64(12)
-    assert abs(model.probabilities(context | symbols).sum() - 1) < 1e-9
+def _kneser_ney(texts, symbols):
+    """Interpolated Kneser-Ney over dictionaries, by the textbook; probability of a 5-tuple of symbols."""
+    grams = Counter()
+    for text in texts:
+        padded = [0] * 4 + [ord(c) if c.isalpha() else 0 for c in text.lower() + " "]
+        grams.update(tuple(padded[i : i + 5]) for i in range(len(padded) - 4))
+    tables = {5: grams}
+    for k in range(4, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    sums, kinds, discounts = {}, {}, {}
+    for k, table in tables.items():
+        sums[k], kinds[k] = Counter(), Counter()
+        for g, n in table.items():
+            sums[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+        ones, twos = (sum(n == wanted for n in table.values()) for wanted in (1, 2))
+        discounts[k] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / symbols
+        total = sums[k][gram[:-1]]
+        if total == 0:
+            return p(gram[1:])
+        d = discounts[k]
+        return max(tables[k][gram] - d, 0) / total + d * kinds[k][gram[:-1]] / total * p(gram[1:])
+
+    return tables, p
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    texts = ["abra cadabra alakazam", "abracadabra", "a barbara had a banana", "abracadabra"]
+    rows = [(t, "x") for t in texts] + [("uno due tre", "y"), (None, "x"), ("zzz", None)]
+    models = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    alphabet = {ord(c) for t, lang in rows if t and lang for c in t if c.isalpha()} | {0}
+    tables, p = _kneser_ney(texts, len(alphabet) + 1)
+    model = models.models[models.languages.index("x")]
+    code = lambda g: sum(s << (12 * (len(g) - 1 - i)) for i, s in enumerate(g))
+    seen = list(tables[5])
+    asked = seen + [(*g[:-1], s) for g in seen for s in (ord("q"), ord("a"), 0)] + [(113, 97, 98, 114, 97), (113,) * 5]
+    got = model.probabilities(np.array([code(g) for g in asked], np.uint64))
+    assert np.allclose(got, [p(g) for g in asked], rtol=1e-5)
+    for context in (seen[3][:-1], (1, 2, 3, 4)):
+        every = np.array([code((*context, s)) for s in alphabet | {ord("q")}], np.uint64)
+        assert abs(model.probabilities(every).sum() - 1) < 1e-5
+
+
+def test_pruned_models_still_sum_to_one(spark):
+    texts = [" ".join(f"{a}{b}{c}" for a in "abcde" for b in "fgh" for c in "ijkl"[: i % 4 + 1]) for i in range(20)]
+    models = language_id.train(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string"), most=40)
+    model = models.models[0]
+    assert len(model.seen[4].hashes) <= 60
+    symbols = {0, ord("q"), *(ord(c) for t in texts for c in t if c.isalpha())}
+    context = (ord("a") << 36) | (ord("f") << 24)
+    every = np.array([(context | (ord("i") << 12)) | s for s in symbols], np.uint64)
+    assert abs(model.probabilities(every).sum() - 1) < 1e-5
+
+
+def test_known_language_keeps_rows_as_they_are(spark, odd, empty):
+    clashing = odd.selectExpr("*", "'mine' AS of", "'own' AS _gone", "1 AS version")
+    kept = language_id.with_known_language(clashing, F.lit(True))
+    assert kept.columns == clashing.columns
+    rows = kept.collect()
+    assert {r["doc_id"] for r in rows} == {None, 3, 4, 5, 6, 8} and len(rows) == 7
+    assert {(r["of"], r["_gone"], r["version"]) for r in rows} == {("mine", "own", 1)}
+    assert language_id.with_known_language(empty, F.lit(True)).count() == 0
 
 
 def test_fingerprints_brute_force(spark, texts):
