@@ -67,28 +67,30 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def without_boilerplate(
-    docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
+    docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
+    site_col: str = "source", count_col: str = "lines_removed",
 ) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text_col``, and how many in ``lines_removed``."""
+    """``docs`` with boilerplate lines cut from ``text_col``, and how many in ``count_col``, which replaces a column of that name."""
     lines = materialize(line_sites(docs, min_words, id_col, text_col, site_col), "lines")
     common = materialize(boilerplate(lines, min_sites), "boilerplate")
     gone = lines.join(common, ["h1", "h2"]).where(F.col("doc") > F.col("first"))
     # at most one number per line of a document, so bounded by the document itself
     cuts = gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("at")).alias("_cuts"))
+    # the row's own columns stay inside a struct, so no name of theirs can clash
     text = F.col(f"`{text_col}`")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(FIRST_KEY))).withColumn("_version", F.xxhash64(text))
-    joined = keyed.join(
-        cuts.withColumnRenamed("doc", "_doc").withColumnRenamed("version", "_version"), ["_doc", "_version"], "left"
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(FIRST_KEY)).alias("doc"), F.xxhash64(text).alias("version"),
     )
+    joined = keyed.join(cuts, ["doc", "version"], "left")
     # the text between two cuts is taken as it is: no line is compared with a list of cuts
+    text = F.col("row")[text_col]
     split = F.split(text, "\n")
     begins = F.concat(F.array(F.lit(-1)), F.col("_cuts"))
     ends = F.concat(F.col("_cuts"), F.array(F.size(split)))
     kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(split, a + 2, b - a - 1)))
+    left = F.when(F.col("_cuts").isNull(), text).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[
-            F.when(F.col("_cuts").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`")
-            for c in docs.columns
-        ],
-        F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts")).alias("lines_removed"),
+        *[(left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c != count_col],
+        F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts")).alias(count_col),
     )

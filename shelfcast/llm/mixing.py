@@ -145,6 +145,11 @@ def taken(docs: DataFrame, **columns: str) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it; documents without words stay once."""
     sized, per_source = plan(docs, id_col, text_col, source_col)
-    counted = _with_copies(docs, per_source, F.col(f"`{source_col}`").cast("string"), doc_hash(id_col))
-    times = F.when(n_words(text_col) == 0, F.lit(1)).otherwise(F.col("_copies")).cast("int")
-    return counted.withColumn("_each", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row's own columns stay inside a struct, so no name of theirs can clash
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"),
+        n_words(text_col).alias("size"), doc_hash(id_col).alias("hash"),
+    )
+    counted = _with_copies(keyed, per_source, F.col("source"), F.col("hash"))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_copies")).cast("int")
+    return counted.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("each")).select("row.*")

@@ -15,8 +15,9 @@ With 32 bands of 4 places a pair at similarity 0.75 shares a bucket with probabi
 
 Cases: null texts and texts without words have no shingles, stay and are linked with
 nothing; fewer than five words are one shingle; repeated rows and equal texts are one
-component; a null id is in no component's minimum unless it is alone; an empty table
-gives no rows; other columns are not looked at, or pass unchanged.
+component; a null id is in no component's minimum unless it is alone; rows are told apart
+by id and text, so ids may be null or shared by several texts; an empty table gives no
+rows; other columns, whatever their names, are not looked at, or pass unchanged.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import chunks
+from .common import chunks, hash128
 from .components import connected
 from .shingles import band_keys, distinct, normalized, shingles, superminhash
 
@@ -57,12 +58,12 @@ def _signatures(words: int):
             marks = [hashlib.blake2b(t, digest_size=16).digest() if s else None for t, s in zip(texts, some)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()),
+                    rows.column("doc_id"), rows.column("v1"), rows.column("v2"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()),
                     pa.array([int.from_bytes(m[:8], "little", signed=True) if m else None for m in marks], pa.int64()),
                     pa.array([k if s else None for k, s in zip(keys, some)], pa.list_(pa.int64())),
                     pa.array([press.compress(t) if s else None for t, s in zip(texts, some)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "mark", "node", "keys", "packed"],
+                ["doc_id", "v1", "v2", "n_shingles", "mark", "node", "keys", "packed"],
             )
 
     return run
@@ -188,10 +189,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> Da
     return materialize(possible.select("a", "b", "packed_a", "packed_b").mapInArrow(_checks(words, least), "a long, b long, near boolean"), "checked")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` of every row."""
-    picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    schema = "doc_id long, n_shingles long, mark binary, node long, keys array<long>, packed binary"
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: the id and 128 bits of the text."""
+    one, two = hash128(F.col(f"`{text_col}`").cast("string"))
+    return [F.col(f"`{id_col}`").cast("long").alias("doc_id"), one.alias("v1"), two.alias("v2")]
+
+
+def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every row with ``n_shingles`` and the ``mark`` of its words; per mark its ``label`` and ``component``, the smallest id."""
+    picked = docs.select(*_key(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = "doc_id long, v1 long, v2 long, n_shingles long, mark binary, node long, keys array<long>, packed binary"
     signed = materialize(picked.mapInArrow(_signatures(words), schema), "signed")
 
     # equal texts: one row stands for all, the first by id, wherever it lies
@@ -236,7 +243,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col:
 
     labelled = texts_ids.join(labels, "node", "left").select("mark", "own", F.coalesce("label", "node").alias("label"))
     least_id = labelled.groupBy("label").agg(F.min("own").alias("component"))
-    by_mark = labelled.join(least_id, "label").select("mark", "component")
+    return signed, labelled.join(least_id, "label").select("mark", "label", "component")
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` of every row."""
+    signed, by_mark = _components(docs, words, least, id_col, text_col)
     component = F.when(F.col("component") < 2**63 - 1, F.col("component"))
     grouped = signed.select("doc_id", "n_shingles", "mark").join(by_mark, "mark", "left")
     return grouped.select(
@@ -246,7 +258,24 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col:
 
 
 def without_near_copies(docs: DataFrame, words: int = WORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one of smallest id."""
-    gone = near_groups(docs, words, least, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    own = F.col(f"`{id_col}`").cast("long")
-    return docs.join(gone, own.eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` with one row of each group: the one of smallest id, a null id last, then by the text's hash.
+
+    Of rows of the same id and text one stays. Rows without words are in no group and all stay.
+    """
+    signed, by_mark = _components(docs, words, least, id_col, text_col)
+    rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("doc_id").isNull().alias("last"), "v1", "v2")
+    rows = signed.select("doc_id", "v1", "v2", "mark").join(by_mark.select("mark", "label"), "mark")
+    versions = materialize(rows.groupBy("label", "doc_id", "v1", "v2").agg(F.count("*").alias("n")).withColumn("rank", rank), "versions")
+    best = versions.groupBy("label").agg(F.min("rank").alias("best"))
+    judged = versions.join(best, "label").select(F.struct("doc_id", "v1", "v2").alias("of"), "n", (F.col("rank") == F.col("best")).alias("stays"))
+    judged = materialize(judged.where("n > 1 or not stays"), "judged")
+    # a row's own columns stay inside a struct, so no name of theirs can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(*_key(id_col, text_col)).alias("of"))
+    same = F.col("a.of").eqNullSafe(F.col("b.of"))
+    alone = keyed.alias("a").join(judged.alias("b"), same, "left_anti").select("row.*")
+    repeated = judged.where("stays")
+    if repeated.isEmpty():
+        return alone
+    some = keyed.alias("a").join(repeated.alias("b"), same, "left_semi")
+    numbered = some.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy(F.to_json("row"))))
+    return alone.unionByName(numbered.where("n = 1").select("row.*"))
