@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path
-from . import decontamination, fingerprints, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, runs, token_files, tool_calls
+from . import decontamination, fingerprints, hard_negatives, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, runs, token_files, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,6 +218,12 @@ def op10(spark, sf_dir):
     return rows.withColumn("target", F.round("target", 6))
 
 
+@query("op11_hard_negatives")
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 # All places of all documents against all windows, and every hit word listed.
 _OP12_SQL = """
 WITH doc AS (
