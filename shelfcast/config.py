@@ -74,10 +74,17 @@ KEYS = ("order_created_date", "order_number", "product_code", "customer_number")
 # Physical settings.
 # ---------------------------------------------------------------------------
 
-# A lookup side is broadcast only when a count proves it has at most this many
-# rows; beyond it the join is shuffled with hot keys salted.
+# A lookup side is broadcast only when it is measured to have at most so many rows
+# and bytes; beyond that the join is shuffled with hot keys salted.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64_000_000
 
-# A key is hot when it holds more than this share of all rows. There can be at
-# most 1 / HOT_SHARE such keys, which bounds the table of hot keys.
-HOT_SHARE = 1 / 1024
+# Rows of one key that go to one task of a shuffled join; a key with more is salted.
+# Its fixed size keeps tasks alike when the data grow.
+SLICE_ROWS = 1_000_000
+# Keys that are salted at most. With more keys above SLICE_ROWS the slices grow, so
+# that the table of hot keys stays small enough to broadcast.
+MOST_HOT_KEYS = 65_536
+# Keys that a summary of heavy hitters tracks; it misses no key that holds more than
+# 3.5 / TRACKED_KEYS of all rows.
+TRACKED_KEYS = 131_072

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import NO_SUBSTITUTE
+from . import payload as pl
 
 
 def percent_one(p: Column) -> Column:
@@ -32,22 +33,14 @@ def option_product_code(option: Column) -> Column:
     return F.regexp_extract(option, r" \| Product: (.*)$", 1)
 
 
-def _field(payload: Column, name: str) -> Column:
-    return F.get_json_object(payload, f"$.{name}")
-
-
 def request_number(payload: Column, name: str) -> Column:
-    """Number of a request field: top level first, then under ``body``, then 0.
-
-    The first text found decides; when it is no number the result is null.
-    """
-    text = F.coalesce(_field(payload, name), _field(payload, f"body.{name}"), F.lit("0"))
-    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+    """Number of a request field of a JSON text: top level first, then under ``body``, then 0."""
+    return pl.number(pl.number_field(F.try_parse_json(payload), name))
 
 
 def request_email(payload: Column, name: str = "customerEmail") -> Column:
     """E-mail of a request: ``body`` first, then top level, then empty."""
-    return F.trim(F.coalesce(_field(payload, f"body.{name}"), _field(payload, name), F.lit("")))
+    return pl.text(pl.text_field(F.try_parse_json(payload), name))
 
 
 def number_text(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DATE_COLUMNS, DEFAULT_ORDER_TIME, LABEL, UNKNOWN
 from ..functions.dates import next_day, parse_date, without_placeholder
 from ..functions.labels import shortage_label
-from .joins import attach, fits_broadcast
+from .joins import attach
 
 MASTER_COLUMNS = ("vendorName", "category", "temperatureCondition")
 
@@ -70,21 +70,20 @@ def product_master(products: DataFrame) -> DataFrame:
     return text_product_code(products.withColumnRenamed("salesUnitGtin", "product_code"))
 
 
-def join_products(lines: DataFrame, products: DataFrame) -> DataFrame:
+def join_products(lines: DataFrame, products: DataFrame, **bounds) -> DataFrame:
     """Order lines with their product attributes.
 
     A code listed several times in the master multiplies its lines. A master that
-    a count shows to be small is broadcast, so the lines are not shuffled; beyond
-    that hot codes are salted.
+    is measured to be small is broadcast, so the lines are not shuffled; beyond
+    that hot codes are salted. ``bounds`` are those of ``attach``.
     """
     codes = text_product_code(lines.select("product_code"))
     return attach(
-        text_product_code(lines), product_master(products), ["product_code"],
-        count_from=codes, small=fits_broadcast(products),
+        text_product_code(lines), product_master(products), ["product_code"], count_from=codes, **bounds
     )
 
 
-def clean_orders_with_products(sales: DataFrame, products: DataFrame) -> DataFrame:
+def clean_orders_with_products(sales: DataFrame, products: DataFrame, **bounds) -> DataFrame:
     """As ``clean_orders`` but with real product attributes.
 
     Copies are folded on both sides before the join, which keeps them out of its
@@ -94,8 +93,7 @@ def clean_orders_with_products(sales: DataFrame, products: DataFrame) -> DataFra
     df = add_label(_distinct_lines(sales))
     master = fill_unknown(product_master(products), MASTER_COLUMNS).dropDuplicates()
     joined = attach(
-        df, master, ["product_code"],
-        count_from=text_product_code(sales.select("product_code")), small=fits_broadcast(products),
+        df, master, ["product_code"], count_from=text_product_code(sales.select("product_code")), **bounds
     )
     return fill_unknown(joined, MASTER_COLUMNS)
 

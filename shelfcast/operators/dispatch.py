@@ -40,8 +40,8 @@ def high_priority(predictions: DataFrame) -> DataFrame:
     return predictions.where(F.col("risk_level").isin(c.CRITICAL, c.HIGH))
 
 
-def _with_substitutes(rows: DataFrame, substitutes: DataFrame, limit: int) -> DataFrame:
-    joined = attach(rows, substitutes, ["product_code"], max_broadcast_rows=limit)
+def _with_substitutes(rows: DataFrame, substitutes: DataFrame, limit: int, slice_rows: int) -> DataFrame:
+    joined = attach(rows, substitutes, ["product_code"], max_broadcast_rows=limit, slice_rows=slice_rows)
     empty = F.array().cast("array<string>")
     return joined.withColumn("substitutes", F.coalesce("substitutes", empty))
 
@@ -55,13 +55,14 @@ def actions(
     substitutes: DataFrame,
     labels: tuple[str, str] = c.ACTION_LABELS,
     max_broadcast_rows: int = c.MAX_BROADCAST_ROWS,
+    slice_rows: int = c.SLICE_ROWS,
 ) -> DataFrame:
     """One action per high-risk order line, most urgent first.
 
     ``substitutes`` maps a product to its list; up to three go to columns of their
     own. No high-risk line means an empty result.
     """
-    rows = _with_substitutes(high_priority(predictions), substitutes, max_broadcast_rows)
+    rows = _with_substitutes(high_priority(predictions), substitutes, max_broadcast_rows, slice_rows)
     subs = F.col("substitutes")
     picked = rows.select(
         "order_number", "risk_level", "product_code", "customer_number", "order_qty",
@@ -77,9 +78,10 @@ def short_actions(
     substitutes: DataFrame,
     labels: tuple[str, str] = c.SHORT_ACTION_LABELS,
     max_broadcast_rows: int = c.MAX_BROADCAST_ROWS,
+    slice_rows: int = c.SLICE_ROWS,
 ) -> DataFrame:
     """The interactive variant: substitutes as one text, shorter labels."""
-    rows = _with_substitutes(high_priority(predictions), substitutes, max_broadcast_rows)
+    rows = _with_substitutes(high_priority(predictions), substitutes, max_broadcast_rows, slice_rows)
     subs = F.col("substitutes")
     picked = rows.select(
         "order_number", "risk_level", "product_code", "customer_number", "order_qty",
@@ -95,7 +97,8 @@ def dispatch(
     substitutes: DataFrame,
     labels: tuple[str, str] = c.ACTION_LABELS,
     max_broadcast_rows: int = c.MAX_BROADCAST_ROWS,
+    slice_rows: int = c.SLICE_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(predictions with risk level, actions)."""
     predictions = with_risk_level(scored)
-    return predictions, actions(predictions, substitutes, labels, max_broadcast_rows)
+    return predictions, actions(predictions, substitutes, labels, max_broadcast_rows, slice_rows)

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..config import FEATURES
 from ..functions.labels import known
+from .joins import attach
 
 EXPLAINED = ("order_number", "product_code", "customer_number", "order_qty", "shortage_probability")
 
 
 def feature_importance(importances: DataFrame, features: DataFrame) -> DataFrame:
     """Importance of each named feature, 0 where the model has none."""
-    return features.join(F.broadcast(importances), "feature", "left").withColumn(
+    return attach(features, importances, ["feature"]).withColumn(
         "importance", F.coalesce("importance", F.lit(0.0))
     )
 

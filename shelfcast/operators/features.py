@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FEATURES, KEYS, LABEL, MAX_BROADCAST_ROWS
+from ..config import FEATURES, KEYS, LABEL, MAX_BROADCAST_ROWS, SLICE_ROWS
 from ..functions import dates as d
 from ..storage import materialize, materialize_all
 from .cleaning import drop_null_rows, select_existing
@@ -29,15 +29,17 @@ def date_features(lines: DataFrame, year: bool = False) -> DataFrame:
     return lines.withColumns(columns)
 
 
-def replacement_feature(lines: DataFrame, counts: DataFrame, small: bool | None = None) -> DataFrame:
+def replacement_feature(
+    lines: DataFrame, counts: DataFrame, small: bool | None = None, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Replacement frequency per line, 0 for products never replaced."""
-    joined = attach(lines, counts, ["product_code"], small=small)
+    joined = attach(lines, counts, ["product_code"], small=small, slice_rows=slice_rows)
     return joined.withColumn(
         "replacement_frequency", F.coalesce("replacement_frequency", F.lit(0).cast("bigint"))
     )
 
 
-def _pair_table(stats: dict[str, DataFrame], small: dict[str, bool]) -> DataFrame:
+def _pair_table(stats: dict[str, DataFrame], small: dict[str, bool], slice_rows: int) -> DataFrame:
     """Customer, product and replacement statistics at (customer, product) grain.
 
     There are far fewer such pairs than order lines. Joining the single-key tables
@@ -50,25 +52,29 @@ def _pair_table(stats: dict[str, DataFrame], small: dict[str, bool]) -> DataFram
     pairs = pairs.withColumns({n: F.when(complete, F.col(n)) for n in names})
     keyed = stats["customer_product"]
     pairs = attach(
-        pairs, stats["product"], ["product_code"], count_from=keyed, small=small["product"]
+        pairs, stats["product"], ["product_code"], count_from=keyed, small=small["product"], slice_rows=slice_rows
     )
     pairs = attach(
-        pairs, stats["customer"], ["customer_number"], count_from=keyed, small=small["customer"]
+        pairs, stats["customer"], ["customer_number"], count_from=keyed, small=small["customer"], slice_rows=slice_rows
     )
-    return replacement_feature(pairs, stats["replacements"], small["replacements"])
+    return replacement_feature(pairs, stats["replacements"], small["replacements"], slice_rows)
 
 
 def attach_training_stats(
-    lines: DataFrame, stats: dict[str, DataFrame], max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    lines: DataFrame, stats: dict[str, DataFrame], max_broadcast_rows: int = MAX_BROADCAST_ROWS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     small = which_fit(stats, max_broadcast_rows)
+    # an order's lines differ in these, so the other columns need not be hashed
+    spread = ["order_number", "product_code"]
     df = attach(
         lines,
-        _pair_table(stats, small),
+        _pair_table(stats, small, slice_rows),
         ["customer_number", "product_code"],
         weights=stats["customer_product"].select("customer_number", "product_code", ROWS),
         null_safe=True,
         small=small["customer_product"],
+        slice_rows=slice_rows,
+        spread_by=spread,
     )
     for name, key in (
         ("category", "category"),
@@ -79,7 +85,7 @@ def attach_training_stats(
     ):
         if name in stats:
             table = stats[name]
-            df = attach(df, table, [key], weights=table.select(key, ROWS), small=small[name])
+            df = attach(df, table, [key], weights=table.select(key, ROWS), small=small[name], slice_rows=slice_rows, spread_by=spread)
     return df
 
 
@@ -87,6 +93,7 @@ def engineer_features(
     clean: DataFrame,
     replacements: DataFrame,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """All features of clean order lines.
 
@@ -97,7 +104,7 @@ def engineer_features(
     lines = date_features(materialize(clean, "clean"))
     tables = training_stats(lines)
     tables["replacements"] = replacement_counts(replacements)
-    return attach_training_stats(lines, materialize_all(tables), max_broadcast_rows)
+    return attach_training_stats(lines, materialize_all(tables), max_broadcast_rows, slice_rows)
 
 
 def model_rows(features: DataFrame, columns=FEATURES) -> DataFrame:

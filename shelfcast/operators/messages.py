@@ -65,6 +65,8 @@ ERROR_BODY = (
     "orderNumber: %s\nproductCode: %s\ncustomerNumber: %s\norderQty: %s\n\n"
     "Please review the dataset or the frontend validation.\n"
 )
+#: How a request field that is no number is written.
+NO_NUMBER = "NaN"
 
 
 def _text(name: str) -> Column:
@@ -114,4 +116,4 @@ def mail_body(company: str = COMPANY, contact: str | None = None) -> Column:
 
 
 def error_body() -> Column:
-    return F.format_string(ERROR_BODY, *_numbers())
+    return F.format_string(ERROR_BODY, *[F.coalesce(n, F.lit(NO_NUMBER)) for n in _numbers()])

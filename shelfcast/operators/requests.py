@@ -9,44 +9,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_timestamp
-from ..functions.text import number_text, request_email, request_number
+from ..functions import payload as pl
+from ..functions.text import number_text
 from . import messages as m
+from .joins import attach, fits_broadcast
 
 FOUND, NOT_FOUND = "found", "not_found"
-REQUEST_COLUMNS = ("order_number", "product_code", "customer_number", "order_qty", "customer_email")
+# Columns of a request and the payload's fields for them.
+NUMBER_FIELDS = {
+    "order_number": "orderNumber", "product_code": "productCode", "customer_number": "customerNumber", "order_qty": "orderQty",
+}
+EMAIL_FIELD = "customerEmail"
+REQUEST_COLUMNS = (*NUMBER_FIELDS, "customer_email")
 
 
 def parse_requests(requests: DataFrame) -> DataFrame:
-    payload = F.col("payload")
-    return requests.select(
-        request_number(payload, "orderNumber").alias("order_number"),
-        request_number(payload, "productCode").alias("product_code"),
-        request_number(payload, "customerNumber").alias("customer_number"),
-        request_number(payload, "orderQty").alias("order_qty"),
-        request_email(payload).alias("customer_email"),
+    """Numbers and e-mail of every payload, which is parsed once."""
+    parsed = requests.select(F.try_parse_json("payload").alias("_json"))
+    fields = parsed.select(
+        *[pl.number_field(F.col("_json"), field).alias(name) for name, field in NUMBER_FIELDS.items()],
+        pl.text_field(F.col("_json"), EMAIL_FIELD).alias("customer_email"),
     )
+    # steps of their own, so that no text is taken out of the payload or trimmed twice
+    texts = fields.select(*[pl.number_text_of(F.col(name)).alias(name) for name in NUMBER_FIELDS], pl.text(F.col("customer_email")).alias("customer_email"))
+    return texts.select(*[pl.number_of_plain(F.col(name)).alias(name) for name in NUMBER_FIELDS], "customer_email")
 
 
-def look_up(parsed: DataFrame, actions: DataFrame) -> DataFrame:
+def look_up(parsed: DataFrame, actions: DataFrame, **bounds) -> DataFrame:
     """Requests with the action of their order line, if there is one.
 
     Codes are compared as text, numbers by value. ``actions`` is the static side
-    when the requests are a stream.
+    when the requests are a stream; it is broadcast if it is measured to fit, also
+    for a stream. Requests that no order line can match, because a number is
+    unknown or the order is 0, get empty keys: they meet no row and no task.
     """
+    # Order 0 is never found, whatever the list holds.
+    possible = (F.col("order_number") != 0) & F.col("product_code").isNotNull() & F.col("customer_number").isNotNull() & F.col("order_qty").isNotNull()
+    keyed = parsed.withColumns(
+        {
+            "_order": F.when(possible, F.col("order_number")),
+            "_product": F.when(possible, number_text(F.col("product_code"))),
+            "_customer": F.when(possible, number_text(F.col("customer_number"))),
+            "_qty": F.when(possible, F.col("order_qty")),
+        }
+    )
     known = actions.select(
         F.col("order_number").cast("double").alias("_order"),
         F.col("product_code").cast("string").alias("_product"),
         F.col("customer_number").cast("string").alias("_customer"),
         F.col("order_qty").alias("_qty"),
-        "risk_level", "shortage_probability", "recommended_action",
-    )
-    same = (
-        (F.col("order_number") == F.col("_order"))
-        & (number_text(F.col("product_code")) == F.col("_product"))
-        & (number_text(F.col("customer_number")) == F.col("_customer"))
-        & (F.col("order_qty") == F.col("_qty"))
+        F.col("order_number").alias("_found"), "risk_level", "shortage_probability", "recommended_action",
     )
-    return parsed.join(known, same, "left").drop("_product", "_customer", "_qty")
+    keys = ["_order", "_product", "_customer", "_qty"]
+    if parsed.isStreaming:
+        # Keys of a stream cannot be counted beforehand, so a large list is joined by plain shuffles.
+        joined = keyed.join(F.broadcast(known) if fits_broadcast(known, **bounds) else known, keys, "left")
+    else:
+        joined = attach(keyed, known, keys, **bounds)
+    return joined.withColumn("_order", F.col("_found")).drop("_product", "_customer", "_qty", "_found")
 
 
 def route(looked_up: DataFrame) -> DataFrame:
@@ -79,9 +99,9 @@ def error_rows(routed: DataFrame) -> DataFrame:
     )
 
 
-def check_requests(requests: DataFrame, actions: DataFrame) -> DataFrame:
-    """Payloads to routed requests."""
-    return route(look_up(parse_requests(requests), actions))
+def check_requests(requests: DataFrame, actions: DataFrame, **bounds) -> DataFrame:
+    """Payloads to routed requests; ``bounds`` are those of the lookup join."""
+    return route(look_up(parse_requests(requests), actions, **bounds))
 
 
 def log_rows(routed: DataFrame) -> DataFrame:

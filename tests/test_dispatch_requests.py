@@ -10,7 +10,7 @@ from shelfcast.operators import orders as od
 from shelfcast.operators import requests as rq
 from shelfcast.operators.explain import explain, explain_text
 from shelfcast.sources import read_actions, write_actions
-from shelfcast.streaming import request_stream, run_order_checks
+from shelfcast.streaming import read_checked, request_stream, run_order_checks, store_checked
 
 SCORED = "order_number BIGINT, product_code STRING, customer_number BIGINT, order_qty DOUBLE, shortage_probability DOUBLE"
 
@@ -182,12 +182,46 @@ def test_stream_equals_batch_and_resumes(spark, action_list, rows, tmp_path):
     args = (action_list, log, errors, mark)
     for q in run_order_checks(request_stream(spark, inbox, 1), *args):
         q.awaitTermination()
-    assert spark.read.parquet(log).count() == 2
+    assert read_checked(spark, log).count() == 2
     payloads(spark).write.mode("append").text(inbox)
     for q in run_order_checks(request_stream(spark, inbox), *args):
         q.awaitTermination()
     everything = payloads(spark).limit(2).union(payloads(spark))
     routed = rq.check_requests(everything, action_list)
     batch = rq.log_rows(routed).drop("timestamp")
-    assert rows(spark.read.parquet(log).drop("timestamp")) == rows(batch)
-    assert rows(spark.read.parquet(errors)) == rows(rq.error_rows(routed))
+    assert rows(read_checked(spark, log).drop("timestamp")) == rows(batch)
+    assert rows(read_checked(spark, errors)) == rows(rq.error_rows(routed))
+
+
+def test_a_repeated_batch_adds_nothing(spark, action_list, rows, tmp_path):
+    inbox, log, errors, mark = (str(tmp_path / n) for n in ("in", "log", "err", "mark"))
+    payloads(spark).repartition(3).write.text(inbox)
+    args = (action_list, log, errors, mark)
+    for q in run_order_checks(request_stream(spark, inbox, 2), *args):
+        q.awaitTermination()
+    before = rows(read_checked(spark, log).drop("timestamp")), rows(read_checked(spark, errors))
+    # as after a failure between the writes and the commit of the last batch
+    last = max((tmp_path / "mark" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    queries = run_order_checks(request_stream(spark, inbox, 2), *args)
+    for q in queries:
+        q.awaitTermination()
+    assert queries[0].lastProgress is not None and last.exists()
+    assert (rows(read_checked(spark, log).drop("timestamp")), rows(read_checked(spark, errors))) == before
+    # and the same batch handed over twice
+    for _ in range(2):
+        store_checked(payloads(spark), 77, action_list, log, errors)
+    assert read_checked(spark, log).count() == len(before[0]) + 2
+    assert read_checked(spark, errors).count() == len(before[1]) + 3
+
+
+def test_payloads_are_parsed_once_for_both_outputs(spark, action_list):
+    plan = rq.check_requests(payloads(spark), action_list)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
+
+
+def test_requests_that_match_nothing_have_no_key(spark, action_list):
+    looked = rq.look_up(rq.parse_requests(payloads(spark)), action_list, max_broadcast_rows=0, slice_rows=1)
+    assert looked.count() == 5
+    assert rq.route(looked).where("status = 'found'").count() == 2

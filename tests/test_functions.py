@@ -114,6 +114,20 @@ def test_request_fields(spark, payload, number, email):
     assert one(spark, text.request_email(F.col("v")), payload) == email
 
 
+@pytest.mark.parametrize(
+    "value, number",
+    [
+        ('"5d"', None), ('"1f"', None), ('""', 0.0), ('"  "', 0.0), ('"\\t 12 \\n"', 12.0), ('"\\u00a07\\ufeff"', 7.0), ("true", 1.0), ("false", 0.0), ('"true"', None),
+        ('"0x10"', 16.0), ('"0XfF"', 255.0), ('"0b101"', 5.0), ('"0o17"', 15.0), ('"-0x1"', None), ('"0x"', None), ('"+5"', 5.0), ('"-.5e1"', -5.0), ('"5."', 5.0),
+        ('"."', None), ('"1e3"', 1000.0), ('"1_000"', None), ('"1,5"', None), ('"Infinity"', float("inf")), ('"-Infinity"', float("-inf")), ('"infinity"', None),
+        ("12", 12.0), ("1.25", 1.25), ("-3e2", -300.0), ("[]", 0.0), ("[4]", 4.0), ('["0x4"]', 4.0), ("[null]", 0.0), ("[true]", None), ("[1, 2]", None), ('{"a": 1}', None), ("null", 0.0),
+    ],
+)
+def test_number_grammar(spark, value, number):
+    assert one(spark, text.request_number(F.col("v"), "n"), f'{{"n": {value}}}') == number
+    assert one(spark, text.request_number(F.col("v"), "n"), f'{{"n": null, "body": {{"n": {value}}}}}') == number
+
+
 @pytest.mark.parametrize("x, expected", [(12.0, "12"), (1.35, "1.35"), (9000499.0, "9000499")])
 def test_number_text(spark, x, expected):
     assert one(spark, text.number_text(F.col("v")), x, "double") == expected

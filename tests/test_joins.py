@@ -52,6 +52,51 @@ def test_rows_of_a_hot_key_are_spread(spark, fact, lookup):
     assert "_salt" in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_summaries_of_parts_merge_to_that_of_all(spark, fact):
+    parts = [fact.where(F.col("id") % 3 == i).transform(j.key_summary, ["k"]) for i in range(3)] + [j.key_summary(fact.limit(0), ["k"])]
+    merged = j.merged_summary(parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]))
+    counted = {r["_key"]: r[j.ROWS] for r in fact.groupBy(F.xxhash64("k").alias("_key")).agg(F.count("*").alias(j.ROWS)).collect()}
+    assert {r["_key"]: r[j.ROWS] for r in j.heavy_keys(merged).collect()} == counted
+    assert merged.first()[j.ROWS] == fact.count()
+    assert j.heavy_keys(j.key_summary(fact.limit(0), ["k"])).count() == 0
+
+
+def test_a_summary_of_few_keys_finds_the_hot_ones(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 1, 9).otherwise(F.col("id") + 100).alias("k"))
+    hot = j.heavy_keys(j.key_summary(rows, ["k"], tracked=256), most=2).collect()
+    wanted = {r["h"] for r in spark.sql("SELECT xxhash64(k) AS h FROM VALUES (7L), (9L) AS t(k)").collect()}
+    assert {r["_key"] for r in hot} == wanted
+
+
+@pytest.mark.parametrize("copies", [1, 8])
+def test_slices_do_not_grow_with_the_rows(spark, fact, lookup, copies):
+    rows = fact.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    weights = rows.groupBy("k").agg(F.count("*").alias(j.ROWS))
+    for known in (weights, None):
+        joined = j.salted_join(rows, lookup.dropDuplicates(["k"]), ["k"], known, slice_rows=100)
+        assert joined.count() == rows.count()
+    salts = {r["k"]: r["_salts"] for r in j.hot_keys(weights, ["k"], slice_rows=100).collect()}
+    spread = rows.withColumn("s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts[7])))
+    largest = spread.where("k = 7").groupBy("s").count().agg(F.max("count")).first()[0]
+    assert largest < 2 * 100
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    table = spark.createDataFrame([(1, "x" * 1000), (2, None)], "k INT, name STRING")
+    assert j.fits_broadcast(table, max_broadcast_bytes=1100)
+    assert not j.fits_broadcast(table, max_broadcast_bytes=1000)
+    assert not j.fits_broadcast(table, max_broadcast_rows=1)
+    nested = spark.createDataFrame([(1, ["y" * 50] * 10)], "k INT, names ARRAY<STRING>")
+    assert j.which_fit({"a": nested, "b": table}, 10, 510) == {"a": False, "b": False}
+    assert j.which_fit({"a": nested.limit(0)}, 0, 0) == {"a": True}
+
+
+def test_keys_of_other_types_meet(spark, fact, rows):
+    lookup = spark.createDataFrame([(k, f"name{k}") for k in range(35)], "k INT, name STRING")
+    salted = j.attach(fact, lookup, ["k"], max_broadcast_rows=0, slice_rows=10, spread_by=["id"])
+    assert rows(salted) == rows(j.attach(fact, lookup, ["k"]))
+
+
 def test_small_lookup_leaves_the_fact_unshuffled(fact, lookup):
     joined = j.attach(fact.select("id", "k"), lookup, ["k"])
     plan = joined._jdf.queryExecution().executedPlan().toString()

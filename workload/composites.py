@@ -17,6 +17,7 @@ from shelfcast.storage import fresh_path, materialize
 
 from . import shared
 from .aggregates import SPLIT_SQL, split_lines
+from .joins import FORCED
 from .registry import query, rounded
 from .tables import view
 
@@ -70,6 +71,13 @@ def f3(spark, d):
     return rounded(shared.features(spark, d).select(*FEATURES, *_KEYS), product_order_qty_std=4)
 
 
+@query("f3_engineer_features_shuffled", like="f3_engineer_features")
+def f3_shuffled(spark, d):
+    """All lookups shuffled and salted, as where no statistics table is small."""
+    features = engineer_features(shared.enriched(spark, d), view(spark, d, "replacements"), **FORCED)
+    return rounded(features.select(*FEATURES, *_KEYS), product_order_qty_std=4)
+
+
 @query(
     "f3_features_without_master",
     """SELECT f.order_number, f.product_code, round(f.product_shortage_rate, 6) AS product_shortage_rate,
@@ -183,6 +191,12 @@ def f6(spark, d):
     return rounded(serve_features(orders, stats).select(*_SERVED), product_order_qty_std=4)
 
 
+@query("f6_serve_features_shuffled", like="f6_serve_features")
+def f6_shuffled(spark, d):
+    orders, stats = _new_orders(spark, d)
+    return rounded(serve_features(orders, stats, **FORCED).select(*_SERVED), product_order_qty_std=4)
+
+
 @query("f7_serve_features_with_vendor", _served_sql("round(coalesce(v.r, 0.04), 6)", "coalesce(v.n, 0)"))
 def f7(spark, d):
     orders, stats = _new_orders(spark, d, "vendorName")
@@ -193,8 +207,9 @@ def f7(spark, d):
 @query("f8_score")
 def f8(spark, d):
     """New orders scored by a model fitted on the lines before them."""
-    data = prepare_from_sales(view(spark, d, "sales"), view(spark, d, "replacements"))
-    model = fit_logistic(data.train.where(F.col("order_created_date") < F.lit(_CUT).cast("date")))
+    earlier = view(spark, d, "sales").where(F.col("order_created_date") < _CUT)  # ISO dates compare as text
+    data = prepare_from_sales(earlier, view(spark, d, "replacements"))
+    model = fit_logistic(data.train)
     orders, stats = _new_orders(spark, d)
     scored = score(serve_features(orders, stats), model)
     return scored.select("order_number", "product_code", "predicted_shortage", "shortage_probability")
@@ -208,15 +223,18 @@ _IMPORTANCES = {
     "customer_total_order_qty": 0.0005,
 }
 
+_UNPIVOTED = " UNION ALL ".join(
+    f"SELECT rid, {i} AS i, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, CAST({_IMPORTANCES.get(n, 0.0)} AS DOUBLE) AS importance FROM numbered"
+    for i, n in enumerate(FEATURES)
+)
+_RANKED = """SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN value IS NULL THEN 1 ELSE 0 END,
+    abs(value * importance) DESC, i) AS rank FROM unpivoted"""
+
 
 @query(
     "f9_explain",
     f"""WITH numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM features),
-    unpivoted AS ({' UNION ALL '.join(
-        f"SELECT rid, {i} AS i, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, "
-        f"CAST({_IMPORTANCES.get(n, 0.0)} AS DOUBLE) AS importance FROM numbered" for i, n in enumerate(FEATURES))}),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN value IS NULL THEN 1 ELSE 0 END,
-                 abs(value * importance) DESC, i) AS rank FROM unpivoted)
+    unpivoted AS ({_UNPIVOTED}), ranked AS ({_RANKED})
     SELECT n.order_number, n.product_code, n.customer_number, n.order_qty, CAST(r.rank AS INTEGER) AS rank, r.feature,
        round(r.value, 4) AS value, round(r.importance, 4) AS importance, round(r.value * r.importance, 4) AS contribution
     FROM ranked r JOIN numbered n ON n.rid = r.rid WHERE r.rank <= 10""",
@@ -227,23 +245,16 @@ def f9(spark, d):
 
 @query(
     "f9_explain_text",
-    """SELECT order_number, product_code, order_qty,
-       '📊 Top Risk Factors:' || chr(10) || printf('   1. %s %.4f', a, x) || chr(10) || printf('   2. %s %.4f', b, y)
-         AS explanation
-    FROM (SELECT order_number, product_code, order_qty,
-            CASE WHEN first THEN rpad('order_qty', 40, '.') ELSE rpad('is_weekend', 40, '.') END AS a,
-            CASE WHEN first THEN order_qty ELSE wk END AS x,
-            CASE WHEN first THEN rpad('is_weekend', 40, '.') ELSE rpad('order_qty', 40, '.') END AS b,
-            CASE WHEN first THEN wk ELSE order_qty END AS y
-          FROM (SELECT order_number, product_code, order_qty, CAST(is_shortage AS DOUBLE) AS wk,
-                       order_qty * 0.01 >= is_shortage * 0.3 AS first FROM judged))""",
+    f"""WITH numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM features),
+    unpivoted AS ({_UNPIVOTED}), ranked AS ({_RANKED})
+    SELECT any_value(n.order_number) AS order_number, any_value(n.product_code) AS product_code, any_value(n.customer_number) AS customer_number,
+       any_value(n.order_qty) AS order_qty, '📊 Top Risk Factors:' || chr(10) || string_agg(
+         lpad(CAST(rank AS VARCHAR), 4, ' ') || '. ' || rpad(r.feature, 40, '.') || ' ' || coalesce(printf('%.4f', round(r.value, 4)), 'null'),
+         chr(10) ORDER BY rank) AS explanation
+    FROM ranked r JOIN numbered n ON n.rid = r.rid WHERE r.rank <= 10 GROUP BY r.rid""",
 )
 def f9_text(spark, d):
-    rows = shared.judged(spark, d).withColumn("is_weekend", F.col("is_shortage"))
-    texts = explain_text(
-        rows, {"order_qty": 0.01, "is_weekend": 0.3}, 2, keys=("order_number", "product_code", "order_qty")
-    )
-    return texts
+    return explain_text(shared.features(spark, d), _IMPORTANCES)
 
 
 @query(
@@ -255,6 +266,12 @@ def f10(spark, d):
     return rounded(todo)
 
 
+@query("f10_dispatch_shuffled", like="f10_dispatch")
+def f10_shuffled(spark, d):
+    _, todo = dispatch.dispatch(shared.scored(spark, d), shared.top3(spark, d), **FORCED)
+    return rounded(todo)
+
+
 @query(
     "f10_dispatch_short",
     """SELECT p.order_number, p.risk_level, p.product_code, p.customer_number, p.order_qty,

@@ -74,6 +74,19 @@ def j2(spark, d):
     )
 
 
+# Bounds under which no lookup is broadcast and every key with more than a few rows is salted.
+FORCED = {"max_broadcast_rows": 0, "slice_rows": 20}
+
+
+@query("j2_pair_stats_shuffled", like="j2_pair_stats")
+def j2_shuffled(spark, d):
+    lines = shared.stored_lines(spark, d)
+    pairs = materialize(st.customer_product_stats(lines), "pairs")
+    keys = ["customer_number", "product_code"]
+    joined = attach(lines, pairs, keys, spread_by=["order_number"], **FORCED)
+    return rounded(joined.select("order_number", *keys, "order_qty", "customer_product_shortage_rate", "customer_product_order_count"))
+
+
 @query(
     "j3_product_master",
     """SELECT order_number, c.product_code, order_qty, p.category, p.vendorName, p.temperatureCondition, p.salesUnit
@@ -87,6 +100,13 @@ def j3(spark, d):
     )
 
 
+@query("j3_product_master_shuffled", like="j3_product_master")
+def j3_shuffled(spark, d):
+    lines = shared.clean(spark, d).select("order_number", "product_code", "order_qty")
+    columns = ["category", "vendorName", "temperatureCondition", "salesUnit"]
+    return join_products(lines, view(spark, d, "products"), **FORCED).select("order_number", "product_code", "order_qty", *columns)
+
+
 @query(
     "j4_replacement_counts",
     """SELECT order_number, c.product_code, order_qty, coalesce(replacement_frequency, 0) AS replacement_frequency
@@ -139,6 +159,12 @@ def j7(spark, d):
     return rounded(look_up(parse_requests(view(spark, d, "requests")), todo).drop("_order"))
 
 
+@query("j7_request_lookup_shuffled", like="j7_request_lookup")
+def j7_shuffled(spark, d):
+    todo = materialize(shared.actions(spark, d), "actions")
+    return rounded(look_up(parse_requests(view(spark, d, "requests")), todo, **FORCED).drop("_order"))
+
+
 @query(
     "j8_notified_status",
     """SELECT order_number, product_code, CASE WHEN order_number IN (

@@ -14,12 +14,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` may use the tables of ``tables.CTES`` freely."""
+def query(name: str, sql: str | None = None, like: str | None = None):
+    """Register a query; ``sql`` may use the tables of ``tables.CTES`` freely.
+
+    ``like`` names an earlier query with the same reference SQL.
+    """
 
     def register(run):
         QUERIES[name] = run
-        if sql is not None:
+        if like is not None:
+            ORACLES[name] = ORACLES[like]
+        elif sql is not None:
             ORACLES[name] = with_ctes(sql, CTES)
         return run
 

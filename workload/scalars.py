@@ -168,8 +168,17 @@ def d13_calls(spark, d):
     )
 
 
-_PLAIN = """CAST(CAST(order_number AS BIGINT) AS VARCHAR) AS o, CAST(CAST(product_code AS BIGINT) AS VARCHAR) AS p,
-    CAST(CAST(customer_number AS BIGINT) AS VARCHAR) AS c, CAST(CAST(order_qty AS BIGINT) AS VARCHAR) AS q"""
+def _plain(number: str) -> str:
+    """A number as text: whole ones without a point, an unknown one as NaN."""
+    return (
+        f"CASE WHEN {number} IS NULL THEN 'NaN' WHEN isinf({number}) THEN CASE WHEN {number} > 0 THEN 'Infinity' ELSE '-Infinity' END "
+        f"WHEN {number} = floor({number}) THEN CAST(CAST({number} AS BIGINT) AS VARCHAR) ELSE CAST({number} AS VARCHAR) END"
+    )
+
+
+_PLAIN = ", ".join(
+    f"{_plain(c)} AS {name}" for name, c in {"o": "order_number", "p": "product_code", "c": "customer_number", "q": "order_qty"}.items()
+)
 
 
 @query(

@@ -13,11 +13,11 @@ from shelfcast.operators.stats import product_stats
 from shelfcast.plans import prepare_from_sales
 from shelfcast.sources import files
 from shelfcast.storage import fresh_path, materialize
-from shelfcast.streaming import append_to, request_stream
+from shelfcast.streaming.order_check import append_to, read_checked, request_stream, run_order_checks
 
 from . import shared
 from .registry import query, rounded
-from .tables import view
+from .tables import number_sql, view
 
 
 def _csv(spark, df, name):
@@ -145,8 +145,7 @@ def _request_files(spark, d):
 
 @query(
     "s11_request_intake",
-    "SELECT payload, order_number FROM (SELECT payload, TRY_CAST(coalesce(payload->>'$.orderNumber', "
-    "payload->>'$.body.orderNumber', '0') AS DOUBLE) AS order_number FROM requests)",
+    f"SELECT payload, {number_sql('order_number')} AS order_number FROM fields",
 )
 def s11(spark, d):
     requests = files.read_requests(spark, _request_files(spark, d))
@@ -168,3 +167,25 @@ def s12(spark, d):
     stream = append_to(log_rows(routed), log, fresh_path(spark, "log-progress"))
     stream.awaitTermination()
     return rounded(spark.read.parquet(log).drop("timestamp"))
+
+
+@query(
+    "s12_log_and_errors",
+    """SELECT status, order_number, product_code, customer_number, order_qty, customer_email AS email, risk_level,
+       round(shortage_probability, 6) AS shortage_probability, recommended_action,
+       CASE WHEN status = 'not_found' THEN 'false' END AS success
+    FROM (SELECT * REPLACE (CASE WHEN status = 'found' THEN risk_level END AS risk_level,
+       CASE WHEN status = 'found' THEN shortage_probability END AS shortage_probability,
+       CASE WHEN status = 'found' THEN recommended_action END AS recommended_action) FROM routed)""",
+)
+def s12_both(spark, d):
+    """One stream over request files writes both of its outputs, which are read back."""
+    todo = materialize(shared.actions(spark, d), "actions")
+    log, errors = fresh_path(spark, "log"), fresh_path(spark, "errors")
+    requests = request_stream(spark, _request_files(spark, d))
+    for stream in run_order_checks(requests, todo, log, errors, fresh_path(spark, "progress")):
+        stream.awaitTermination()
+    found = read_checked(spark, log).drop("timestamp").withColumn("status", F.lit("found"))
+    failed = read_checked(spark, errors).drop("error", "mail_subject", "mail_body").withColumnRenamed("customer_email", "email")
+    both = found.unionByName(failed.withColumn("status", F.lit("not_found")), allowMissingColumns=True)
+    return rounded(both)

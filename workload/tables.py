@@ -53,10 +53,25 @@ SELECT * FROM sales WHERE order_number % 3 = 0 AND product_code % 5 = 0""",
 SELECT order_number, product_code, customer_number, order_qty, delivered_qty,
        CAST((order_number * 7919 + product_code * 104729 + CAST(order_qty AS bigint) * 31) % 10007 AS double) / 10007 AS shortage_probability
 FROM (SELECT DISTINCT * FROM sales)""",
+    # One request in 29 of each odd kind; the others are plain, half of them under ``body``.
     "requests": """
-SELECT CASE WHEN order_number % 2 = 0
+SELECT CASE order_number % 29
+         WHEN 1 THEN concat('{"orderNumber":"0x', hex(order_number), '","productCode":" ', product_code, ' ","customerNumber":"+', customer_number, '","orderQty":"', order_qty, 'e0","customerEmail":"', chr(92), 'tx@example.com "}')
+         WHEN 2 THEN concat('{"orderNumber":"', order_number, 'd","productCode":', product_code, ',"customerNumber":', customer_number, ',"orderQty":', order_qty, '}')
+         WHEN 3 THEN concat('{"orderNumber":"","body":{"orderNumber":', order_number, '},"productCode":', product_code, ',"customerNumber":', customer_number, ',"orderQty":', order_qty, '}')
+         WHEN 4 THEN concat('{"orderNumber":', order_number, ',"productCode":true,"customerNumber":false,"orderQty":', order_qty, '}')
+         WHEN 5 THEN 'no json {'
+         WHEN 6 THEN concat('{"orderNumber":null,"body":{"orderNumber":"', order_number, '"},"productCode":', product_code, ',"customerNumber":', customer_number, ',"orderQty":', order_qty, '}')
+         WHEN 7 THEN concat('{"orderNumber":[', order_number, '],"productCode":["', product_code, '"],"customerNumber":[],"orderQty":[1,2]}')
+         WHEN 8 THEN concat('{"orderNumber":{"value":', order_number, '},"productCode":', product_code, ',"customerNumber":', customer_number, ',"orderQty":', order_qty, '}')
+         WHEN 9 THEN concat('{"orderNumber":"-Infinity","productCode":"', product_code, '_0","customerNumber":".5","orderQty":"5."}')
+         WHEN 10 THEN '{}'
+         WHEN 11 THEN concat('{"body":"', order_number, '","orderNumber":"0b101","productCode":"0o17","customerNumber":"0x","orderQty":"-0x1"}')
+         WHEN 12 THEN concat('[', order_number, ']')
+         ELSE CASE WHEN order_number % 2 = 0
             THEN concat('{"orderNumber":"', order_number, '","productCode":"', product_code, '","customerNumber":', customer_number, ',"orderQty":', order_qty + CASE WHEN order_number % 5 = 0 THEN 1000 ELSE 0 END, ',"customerEmail":" c', customer_number, '@example.com "}')
-            ELSE concat('{"body":{"orderNumber":', order_number, ',"productCode":', product_code, ',"customerNumber":', customer_number, ',"orderQty":', order_qty + CASE WHEN order_number % 5 = 0 THEN 1000 ELSE 0 END, '}}') END AS payload
+            ELSE concat('{"body":{"orderNumber":', order_number, ',"productCode":', product_code, ',"customerNumber":', customer_number, ',"orderQty":', order_qty + CASE WHEN order_number % 5 = 0 THEN 1000 ELSE 0 END, '}}') END
+       END AS payload
 FROM scored""",
 }
 
@@ -68,6 +83,31 @@ SELECT * EXCEPT (copy) FROM sales_base
 LATERAL VIEW explode(sequence(1, CASE WHEN order_number % 101 = 0 THEN 2 ELSE 1 END)) AS copy""",
 }
 
+# Columns of a request and the payload's fields for them.
+_FIELDS = {"order_number": "orderNumber", "product_code": "productCode", "customer_number": "customerNumber", "order_qty": "orderQty"}
+
+
+def number_of_text_sql(text: str) -> str:
+    """SQL for the number a text stands for, null if none."""
+    plain = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+    return (
+        f"CASE WHEN {plain} = '' THEN 0.0e0 WHEN regexp_full_match({plain}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|[+-]?Infinity') THEN TRY_CAST({plain} AS DOUBLE) "
+        f"WHEN regexp_full_match({plain}, '0[xX][0-9a-fA-F]{{1,15}}') THEN CAST(CAST({plain} AS BIGINT) AS DOUBLE) "
+        f"WHEN regexp_full_match({plain}, '0[bB][01]{{1,60}}') THEN list_sum(list_transform(range(3, len({plain}) + 1), lambda i: CAST(substr({plain}, i, 1) AS DOUBLE) * 2 ** (len({plain}) - i))) "
+        f"WHEN regexp_full_match({plain}, '0[oO][0-7]{{1,20}}') THEN list_sum(list_transform(range(3, len({plain}) + 1), lambda i: CAST(substr({plain}, i, 1) AS DOUBLE) * 8 ** (len({plain}) - i))) END"
+    )
+
+
+def number_sql(field: str) -> str:
+    """SQL for the number of a JSON field: 0 if it is not given, null if it is none."""
+    return (
+        f"CASE coalesce(json_type({field}), 'NULL') WHEN 'NULL' THEN 0.0e0 WHEN 'BOOLEAN' THEN CASE WHEN {field}->>'$' = 'true' THEN 1.0e0 ELSE 0.0e0 END "
+        f"WHEN 'VARCHAR' THEN {number_of_text_sql(f"({field}->>'$')")} WHEN 'OBJECT' THEN NULL "
+        f"WHEN 'ARRAY' THEN CASE WHEN json_array_length({field}) < 2 THEN {number_of_text_sql(f"coalesce({field}->>'$[0]', '')")} END "
+        f"ELSE TRY_CAST({field}->>'$' AS DOUBLE) END"
+    )
+
+
 # Reference results that several checks build on.
 CTES = {
     **VIEWS,
@@ -181,20 +221,21 @@ SELECT p.order_number, p.risk_level, p.product_code, p.customer_number, p.order_
        substitute_1, substitute_2, substitute_3
 FROM predictions p LEFT JOIN top_substitutes s ON p.product_code = s.product_code
 WHERE p.risk_level IN ('🔴 CRITICAL', '🟡 HIGH')""",
-    "parsed": """
-SELECT TRY_CAST(coalesce(payload->>'$.orderNumber', payload->>'$.body.orderNumber', '0') AS DOUBLE) AS order_number,
-       TRY_CAST(coalesce(payload->>'$.productCode', payload->>'$.body.productCode', '0') AS DOUBLE) AS product_code,
-       TRY_CAST(coalesce(payload->>'$.customerNumber', payload->>'$.body.customerNumber', '0') AS DOUBLE) AS customer_number,
-       TRY_CAST(coalesce(payload->>'$.orderQty', payload->>'$.body.orderQty', '0') AS DOUBLE) AS order_qty,
-       trim(coalesce(payload->>'$.body.customerEmail', payload->>'$.customerEmail', '')) AS customer_email
-FROM requests""",
+    "fields": f"""
+SELECT payload, {', '.join(
+    f"CASE WHEN json_type(j->'$.{f}') <> 'NULL' THEN j->'$.{f}' ELSE j->'$.body.{f}' END AS {c}" for c, f in _FIELDS.items())},
+       CASE WHEN json_type(j->'$.body.customerEmail') <> 'NULL' THEN j->>'$.body.customerEmail' ELSE j->>'$.customerEmail' END AS email
+FROM (SELECT payload, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM requests)""",
+    "parsed": f"""
+SELECT {', '.join(f"{number_sql(c)} AS {c}" for c in _FIELDS)}, regexp_replace(coalesce(email, ''), '^\\s+|\\s+$', '', 'g') AS customer_email
+FROM fields""",
     "routed": """
 SELECT r.*, a.risk_level, a.shortage_probability, a.recommended_action,
        CASE WHEN a.order_number <> 0 THEN 'found' ELSE 'not_found' END AS status
 FROM parsed r LEFT JOIN actions a
-  ON CAST(CAST(r.customer_number AS BIGINT) AS VARCHAR) = CAST(a.customer_number AS VARCHAR)
- AND CAST(CAST(r.product_code AS BIGINT) AS VARCHAR) = a.product_code
- AND r.order_number = a.order_number AND r.order_qty = a.order_qty""",
+  ON CAST(TRY_CAST(r.customer_number AS BIGINT) AS VARCHAR) = CAST(a.customer_number AS VARCHAR)
+ AND CAST(TRY_CAST(r.product_code AS BIGINT) AS VARCHAR) = a.product_code
+ AND r.order_number = a.order_number AND r.order_qty = a.order_qty AND r.order_number <> 0""",
     "judged": """
 SELECT order_number, product_code, order_qty,
        CAST(order_qty > coalesce(delivered_qty, 0) AS INTEGER) AS is_shortage, shortage_probability,
