@@ -32,8 +32,9 @@ from pyspark.sql import Window
 from ..storage import materialize
 from .common import hash128
 
-#: Fixed value: what a word is, once A-Z are in lower case.
-ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what a word is, once A-Z are in lower case. Java matches a positive class three times as fast as
+#: the same one negated.
+ALNUM = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 WINDOW, SHINGLE = 10, 3
 #: Most rows of shingle numbers, and most bytes of windows, that are broadcast.
 MOST_SHINGLES, MOST_WINDOW_BYTES = 1_000_000, 32_000_000
