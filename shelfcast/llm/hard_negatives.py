@@ -147,7 +147,8 @@ def build(rows: DataFrame, size: int) -> tuple[Index, DataFrame]:
     centres = max(1, min(CENTRES, int(np.sqrt(n / CELL_ROWS))))
     share = min(1.0, 1.5 * SAMPLE / max(1, n))
     some = rows.where(F.col("h2").bitwiseAND(F.lit(2**31 - 1)) <= int(share * (2**31 - 1))).orderBy("h2", "h1", "vec_id", "label").limit(SAMPLE)
-    sample = np.array([r["vector"] for r in some.select("vector").collect()] or [[0.0] * size], np.float64).reshape(-1, size)
+    picked = [r["vector"] for r in some.select("vector").collect()] or [[0.0] * size]
+    sample = np.array(picked, np.float64).reshape(len(picked), size)
     rng = np.random.default_rng(SEED)
     books = [_centres(half, centres, rng) for half in _halves(sample)]
 
