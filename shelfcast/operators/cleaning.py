@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DATE_COLUMNS, DEFAULT_ORDER_TIME, LABEL, UNKNOWN
+from ..config import DATE_COLUMNS, DEFAULT_ORDER_TIME, LABEL, PLACEHOLDER_DATE, UNKNOWN
 from ..functions.dates import next_day, parse_date, without_placeholder
 from ..functions.labels import shortage_label
 from .joins import attach
@@ -60,9 +60,46 @@ def clean_orders(sales: DataFrame) -> DataFrame:
     return add_unknown_master(add_label(_distinct_lines(sales)))
 
 
-def _distinct_lines(sales: DataFrame) -> DataFrame:
-    df = fill_unknown(fill_quantities(drop_placeholder_dates(parse_dates(sales))))
-    return text_product_code(df.dropDuplicates())
+class CleaningReport:
+    """Counts that are taken while the rows pass through cleaning, without jobs of their own.
+
+    They are there once the cleaned table was written or otherwise run in full, once. Tasks
+    that are repeated after a failure may count twice, so the figures are for a report, not
+    for decisions.
+    """
+
+    def __init__(self):
+        self._observed: list[Observation] = []
+
+    def watch(self, df: DataFrame, **counts: Column) -> DataFrame:
+        observation = Observation()
+        self._observed.append(observation)
+        return df.observe(observation, *[c.alias(name) for name, c in counts.items()])
+
+    def counts(self) -> dict[str, int]:
+        """All counts; waits for the run of the cleaned table."""
+        return {name: n or 0 for o in self._observed for name, n in o.get.items()}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``metric``, ``value``: the counts and what follows from them."""
+        n = self.counts()
+        derived = {"duplicates": n["rows"] - n["distinct_rows"]}
+        if "joined_rows" in n:
+            derived["added_by_master"] = n["joined_rows"] - n["distinct_rows"]
+        rows = [(name, int(value)) for name, value in {**n, **derived}.items()]
+        return spark.createDataFrame(rows, "metric string, value bigint")
+
+
+def _distinct_lines(sales: DataFrame, report: CleaningReport | None = None) -> DataFrame:
+    parsed = parse_dates(sales)
+    if report is not None:
+        present = [c for c in DATE_COLUMNS if c in sales.columns]
+        placeholders = {f"placeholders:{c}": F.count_if(F.col(c) == F.lit(PLACEHOLDER_DATE).cast("date")) for c in present}
+        parsed = report.watch(parsed, rows=F.count("*"), **placeholders)
+    df = fill_unknown(fill_quantities(drop_placeholder_dates(parsed))).dropDuplicates()
+    if report is not None:
+        df = report.watch(df, distinct_rows=F.count("*"))
+    return text_product_code(df)
 
 
 def product_master(products: DataFrame) -> DataFrame:
@@ -83,18 +120,24 @@ def join_products(lines: DataFrame, products: DataFrame, **bounds) -> DataFrame:
     )
 
 
-def clean_orders_with_products(sales: DataFrame, products: DataFrame, **bounds) -> DataFrame:
-    """As ``clean_orders`` but with real product attributes.
+def clean_orders_with_products(
+    sales: DataFrame, products: DataFrame, report: CleaningReport | None = None, **bounds
+) -> DataFrame:
+    """As ``clean_orders`` but with real product attributes; ``report`` counts rows on the way.
 
     Copies are folded on both sides before the join, which keeps them out of its
     shuffle. Distinct lines joined to distinct master rows are distinct, so the
     result is the same as removing duplicates afterwards.
     """
-    df = add_label(_distinct_lines(sales))
+    df = add_label(_distinct_lines(sales, report))
     master = fill_unknown(product_master(products), MASTER_COLUMNS).dropDuplicates()
     joined = attach(
         df, master, ["product_code"], count_from=text_product_code(sales.select("product_code")), **bounds
     )
+    if report is not None:
+        # attributes of the master are filled, so an empty one stands for no match
+        matched = F.count(MASTER_COLUMNS[0])
+        joined = report.watch(joined, joined_rows=F.count("*"), matched_rows=matched)
     return fill_unknown(joined, MASTER_COLUMNS)
 
 

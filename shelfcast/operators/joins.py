@@ -8,7 +8,8 @@
   with more than ``slice_rows`` rows, get more than one salt, so a key's rows reach a
   task in slices of that size however large the data are. Every row keeps exactly one
   salt and the lookup side holds every salt of its key, so the result is that of the
-  plain join. Rows with an empty key match nothing and are spread freely.
+  plain join. Rows with an empty key match nothing and are spread freely. Where no key is
+  hot it is the plain join.
 
 Hot keys come from exact row counts where a statistics table has them, else from a
 summary of heavy hitters: a sketch of fixed size per task, merged by aggregation,
@@ -144,7 +145,11 @@ def salted_join(
         limit = max(slice_rows, rows / MOST_HOT_KEYS) if share is None else max(rows * share, 1.0)
         hot = heavy_keys(summary).where(F.col(ROWS) > limit).select("_key", F.ceil(F.col(ROWS) / F.lit(limit)).cast("int").alias("_salts"))
     # at most MOST_HOT_KEYS rows, and one per key's hash
-    hot = F.broadcast(hot.groupBy("_key").agg(F.max("_salts").alias("_salts")))
+    hot = hot.groupBy("_key").agg(F.max("_salts").alias("_salts"))
+    if hot.isEmpty():
+        # a plain join on the keys, for which a lookup bucketed by them is not shuffled
+        return _equi_join(fact, lookup, keys, how, null_safe)
+    hot = F.broadcast(hot)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     # A hash of the row, not a random number: a retried task repeats its choice.
     own = F.xxhash64(*(spread_by or fact.columns))

@@ -143,6 +143,30 @@ def save_stats(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+#: Keys of the tables of a bundle.
+BUNDLE_KEYS = {
+    "product": ["product_code"], "customer": ["customer_number"], "customer_product": ["customer_number", "product_code"],
+    "plant": ["plant"], "storage": ["storage_location"], "category": ["category"], "temperature": ["temperatureCondition"],
+    "vendor": ["vendorName"],
+}
+
+
+def save_bucketed_stats(tables: dict[str, DataFrame], path: str, prefix: str, buckets: int) -> None:
+    """Save tables as ``prefix_name``, their rows bucketed and sorted by key, with files under ``path``.
+
+    Orders that are joined to such a table are shuffled; the table is not.
+    """
+    for name, df in tables.items():
+        keys = BUNDLE_KEYS[name]
+        # one file for each bucket
+        rows = df.repartition(buckets, *keys).write.mode("overwrite").option("path", f"{path}/{name}")
+        rows.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(f"{prefix}_{name}")
+
+
+def load_bucketed_stats(spark, prefix: str, names=tuple(BUNDLE_KEYS)) -> dict[str, DataFrame]:
+    return {name: spark.table(f"{prefix}_{name}") for name in names}
+
+
 def load_stats(spark, path: str) -> dict[str, DataFrame]:
     names = (
         "product", "customer", "customer_product", "plant", "storage",

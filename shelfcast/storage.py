@@ -57,15 +57,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Materialize independent tables, their jobs running side by side."""
+def side_by_side(run, tables: dict[str, DataFrame]) -> dict:
+    """``run(name, table)`` for independent tables, their jobs running side by side."""
     if not tables:
         return {}
-
-    def store(item):
-        name, df = item
-        return name, materialize(df, name)
-
     spark = next(iter(tables.values())).sparkSession
     with ThreadPoolExecutor(max_workers=len(tables)) as pool:
-        return dict(pool.map(inheritable_thread_target(spark)(store), tables.items()))
+        return dict(zip(tables, pool.map(inheritable_thread_target(spark)(lambda item: run(*item)), tables.items())))
+
+
+def materialize_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Materialize independent tables."""
+    return side_by_side(lambda name, df: materialize(df, name), tables)

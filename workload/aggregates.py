@@ -5,14 +5,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators import metrics, profile
+from shelfcast.operators import metrics, profile, states
 from shelfcast.operators import stats as st
-from shelfcast.operators.cleaning import clean_orders, fill_quantities, join_products, parse_dates
+from shelfcast.operators.cleaning import CleaningReport, clean_orders, clean_orders_with_products, fill_quantities, join_products, parse_dates
 from shelfcast.operators.dispatch import risk_summary
 from shelfcast.operators.orders import category_members, matched_products, value_counts
 from shelfcast.operators.serving import modal_context
 from shelfcast.operators.split import split_summary, time_split
-from shelfcast.storage import materialize
+from shelfcast.operators.joins import ROWS
+from shelfcast.storage import fresh_path, materialize
 
 from . import shared
 from .registry import query, rounded
@@ -121,7 +122,10 @@ _BUNDLE = {
 )
 def a10(spark, d):
     """All eight tables of the bundle in one long form."""
-    tables = st.serving_stats(shared.stored_lines(spark, d))
+    return _bundle(st.serving_stats(shared.stored_lines(spark, d)))
+
+
+def _bundle(tables):
     keys = {
         "product": "product_code", "customer": "customer_number", "plant": "plant",
         "storage": "storage_location", "category": "category",
@@ -143,6 +147,34 @@ def a10(spark, d):
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
+_LATER_FROM = 1997
+
+
+def _continued(spark, d, *names):
+    """Statistics after history was stored, later years were added, and the last one came once more."""
+    lines = shared.stored_lines(spark, d)
+    path, year = fresh_path(spark, "states"), F.year("order_created_date")
+    old = F.coalesce(year < _LATER_FROM, F.lit(True))
+    states.store_states(states.line_states(lines.where(old), year, names=names), path)
+    states.store_states(states.line_states(lines.where(~old), year, names=names), path)
+    return states.continued_stats(path, lines.where(year >= 1998), year, names=names)
+
+
+@query("a10_continued_stats", like="a10_serving_stats")
+def a10_continued(spark, d):
+    return _bundle(_continued(spark, d, *_BUNDLE))
+
+
+@query("a1_continued_product_stats", like="a1_product_stats")
+def a1_continued(spark, d):
+    return rounded(_continued(spark, d, "product")["product"].drop(ROWS), product_order_qty_std=4)
+
+
+@query("a4_continued_customer_stats", like="a4_customer_stats")
+def a4_continued(spark, d):
+    return rounded(_continued(spark, d, "customer")["customer"].drop(ROWS))
+
+
 @query(
     "a11_sales_row_counts",
     """SELECT CAST(product_code AS VARCHAR) AS product_code, CAST(count(*) AS BIGINT) AS replacement_frequency
@@ -312,6 +344,29 @@ def a22_duplicates(spark, d):
     return profile.duplicate_counts(fill_quantities(parse_dates(view(spark, d, "sales"))))
 
 
+@query(
+    "a22_cleaning_report",
+    """WITH joined AS (SELECT c.order_number, p.code FROM clean c LEFT JOIN (
+        SELECT DISTINCT salesUnitGtin AS code, coalesce(vendorName, 'UNKNOWN'), coalesce(category, 'UNKNOWN'), coalesce(temperatureCondition, 'UNKNOWN'), salesUnit
+        FROM products) p ON c.product_code = p.code)
+    SELECT metric, CAST(value AS BIGINT) AS value FROM (
+      SELECT 'rows' AS metric, count(*) AS value FROM sales
+      UNION ALL SELECT 'placeholders:order_created_date', count(*) FROM sales WHERE TRY_CAST(order_created_date AS DATE) = DATE '1970-01-01'
+      UNION ALL SELECT 'placeholders:requested_delivery_date', count(*) FROM sales WHERE TRY_CAST(requested_delivery_date AS DATE) = DATE '1970-01-01'
+      UNION ALL SELECT 'placeholders:picking_confirmed_date', count(*) FROM sales WHERE TRY_CAST(picking_confirmed_date AS DATE) = DATE '1970-01-01'
+      UNION ALL SELECT 'distinct_rows', count(*) FROM clean
+      UNION ALL SELECT 'joined_rows', count(*) FROM joined
+      UNION ALL SELECT 'matched_rows', count(code) FROM joined
+      UNION ALL SELECT 'duplicates', (SELECT count(*) FROM sales) - (SELECT count(*) FROM clean)
+      UNION ALL SELECT 'added_by_master', (SELECT count(*) FROM joined) - (SELECT count(*) FROM clean))""",
+)
+def a22_report(spark, d):
+    """What cleaning did, counted while the cleaned table was written."""
+    report = CleaningReport()
+    materialize(clean_orders_with_products(view(spark, d, "sales"), view(spark, d, "products"), report), "clean")
+    return report.table(spark)
+
+
 @query(
     "a22_matched_products",
     """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(p.vendorName) AS BIGINT) AS matched,

@@ -10,7 +10,7 @@ from shelfcast.operators.cleaning import app_clean
 from shelfcast.operators.explain import explain, explain_text
 from shelfcast.operators.features import engineer_features
 from shelfcast.operators.serving import serve_features
-from shelfcast.operators.stats import serving_stats, stored
+from shelfcast.operators.stats import load_bucketed_stats, save_bucketed_stats, serving_stats, stored
 from shelfcast.plans import prepare_from_sales, product_status
 from shelfcast.sources import read_sales_typed
 from shelfcast.storage import fresh_path, materialize
@@ -197,6 +197,17 @@ def f6_shuffled(spark, d):
     return rounded(serve_features(orders, stats, **FORCED).select(*_SERVED), product_order_qty_std=4)
 
 
+@query("f6_serve_features_bucketed", like="f6_serve_features")
+def f6_bucketed(spark, d):
+    """Statistics kept as tables bucketed by key, and no lookup small enough to broadcast."""
+    orders, stats = _new_orders(spark, d)
+    path = fresh_path(spark, "bundle")
+    prefix = f"bundle_{path.split('/')[-2]}"
+    save_bucketed_stats(stats, path, prefix, buckets=4)
+    served = serve_features(orders, load_bucketed_stats(spark, prefix), max_broadcast_rows=0)
+    return rounded(served.select(*_SERVED), product_order_qty_std=4)
+
+
 @query("f7_serve_features_with_vendor", _served_sql("round(coalesce(v.r, 0.04), 6)", "coalesce(v.n, 0)"))
 def f7(spark, d):
     orders, stats = _new_orders(spark, d, "vendorName")
