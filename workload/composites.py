@@ -1,9 +1,11 @@
 """User-level operators (F1 – F14)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfcast.config import FEATURES
-from shelfcast.learners import fit_logistic, score
+from shelfcast.functions.labels import verdict
+from shelfcast.learners import BEST, fit_boosted, fit_logistic, load_model, save_model, score
 from shelfcast.operators import dispatch
 from shelfcast.operators import requests as rq
 from shelfcast.operators.cleaning import app_clean
@@ -11,8 +13,8 @@ from shelfcast.operators.explain import explain, explain_text
 from shelfcast.operators.features import engineer_features
 from shelfcast.operators.serving import serve_features
 from shelfcast.operators.stats import load_bucketed_stats, save_bucketed_stats, serving_stats, stored
-from shelfcast.plans import prepare_from_sales, product_status
-from shelfcast.sources import read_sales_typed
+from shelfcast.plans import best_model, prepare_from_sales, product_status, run_dispatch
+from shelfcast.sources import read_actions, read_sales_typed
 from shelfcast.storage import fresh_path, materialize
 
 from . import shared
@@ -215,15 +217,55 @@ def f7(spark, d):
     return rounded(served.select(*_SERVED), product_order_qty_std=4)
 
 
-@query("f8_score")
+@query(
+    "f8_score",
+    f"""SELECT order_number, product_code, order_qty, TRUE AS in_range, TRUE AS consistent
+    FROM dated WHERE order_created_date >= DATE '{_CUT}'""",
+)
 def f8(spark, d):
-    """New orders scored by a model fitted on the lines before them."""
+    """New orders scored by a model fitted on the lines before them, which alone give the statistics."""
     earlier = view(spark, d, "sales").where(F.col("order_created_date") < _CUT)  # ISO dates compare as text
     data = prepare_from_sales(earlier, view(spark, d, "replacements"))
     model = fit_logistic(data.train)
     orders, stats = _new_orders(spark, d)
-    scored = score(serve_features(orders, stats), model)
-    return scored.select("order_number", "product_code", "predicted_shortage", "shortage_probability")
+    p = F.col("shortage_probability")
+    return score(serve_features(orders, stats), model).select(
+        "order_number", "product_code", "order_qty", p.between(0, 1).alias("in_range"),
+        ((p >= 0.5).cast("int") == F.col("predicted_shortage").cast("int")).alias("consistent"),
+    )
+
+
+@query(
+    "f10_run_dispatch",
+    f"""SELECT order_number, product_code, order_qty, TRUE AS band_fits, TRUE AS action_fits, TRUE AS substitutes_fit
+    FROM dated WHERE order_created_date >= DATE '{_CUT}'""",
+)
+def f10_run(spark, d):
+    """From orders to written predictions and actions with a boosted model that was kept and loaded."""
+    earlier = view(spark, d, "sales").where(F.col("order_created_date") < _CUT)
+    data = prepare_from_sales(earlier, view(spark, d, "replacements"))
+    kept = fresh_path(spark, "model")
+    save_model(best_model({BEST: fit_boosted(data.train, rounds=20)}), spark, kept)
+    orders, stats = _new_orders(spark, d)
+    top3 = shared.top3(spark, d)
+    predictions_path, actions_path = fresh_path(spark, "predictions"), fresh_path(spark, "actions")
+    run_dispatch(orders, stats, load_model(spark, kept), top3, predictions_path, actions_path)
+    predictions = spark.read.parquet(predictions_path).withColumn("line", F.xxhash64("order_number", "product_code", "customer_number", "order_qty"))
+    actions = read_actions(spark, actions_path).withColumn("line", F.xxhash64("order_number", "product_code", "customer_number", "order_qty"))
+    p = F.col("shortage_probability")
+    band = F.when(p >= 0.8, "🔴 CRITICAL").when(p >= 0.5, "🟡 HIGH").when(p >= 0.3, "🟠 MEDIUM").otherwise("🟢 LOW")
+    per_line = actions.groupBy("line").agg(
+        F.count("*").alias("n_actions"), F.first("recommended_action").alias("action"), F.first("substitute_1").alias("offered"),
+    )
+    lines = predictions.withColumn("n_lines", F.count("*").over(Window.partitionBy("line"))).join(per_line, "line", "left").join(top3, "product_code", "left")
+    urgent = F.col("risk_level").isin("🔴 CRITICAL", "🟡 HIGH")
+    first = F.get("substitutes", F.lit(0))
+    label = F.when(F.col("offered").isNotNull(), "📞 Contact customer - offer substitutes").otherwise("📞 Contact customer - notify potential delay")
+    return lines.select(
+        "order_number", "product_code", "order_qty", (F.col("risk_level") == band).alias("band_fits"),
+        F.when(urgent, (F.col("n_actions") == F.col("n_lines")) & (F.col("action") == label)).otherwise(F.col("n_actions").isNull()).alias("action_fits"),
+        (~urgent | F.col("offered").eqNullSafe(first)).alias("substitutes_fit"),
+    )
 
 
 # Importances that make the explanation independent of a model.
@@ -297,13 +339,18 @@ def f10_short(spark, d):
     return rounded(dispatch.short_actions(shared.predictions(spark, d), shared.top3(spark, d)))
 
 
-@query("f11_product_status")
+@query(
+    "f11_product_status",
+    "SELECT DISTINCT salesUnitGtin AS product_code, TRUE AS in_range, TRUE AS verdict_fits FROM products",
+)
 def f11(spark, d):
     data = prepare_from_sales(view(spark, d, "sales"), view(spark, d, "replacements"))
     model = fit_logistic(data.train)
     stats = stored(serving_stats(data.features))
     status = product_status(view(spark, d, "products"), data.features, stats, model, as_of="2025-10-01")
-    return status.select("product_code", "shortage_probability", "verdict")
+    p = F.col("shortage_probability")
+    fits = F.col("verdict") == verdict(p)
+    return status.select("product_code", p.between(0, 1).alias("in_range"), fits.alias("verdict_fits"))
 
 
 @query(

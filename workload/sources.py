@@ -1,7 +1,10 @@
 """Reading and writing (S1 – S12)."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from shelfcast import schemas
 from shelfcast.functions.text import request_number
 from shelfcast.learners import fit_logistic, load_model, save_model, score
 from shelfcast.operators.dispatch import actions, with_risk_level
@@ -122,18 +125,17 @@ def s9(spark, d):
     )
 
 
-@query("s10_save_load_model")
+@query("s10_save_load_model", "SELECT TRUE AS scored, TRUE AS same")
 def s10(spark, d):
-    """Rows scored before saving and after loading; ``same`` must be true throughout."""
+    """Rows scored before saving and after loading have the same probabilities throughout."""
     data = prepare_from_sales(view(spark, d, "sales"), view(spark, d, "replacements"))
     model = fit_logistic(data.train)
     path = fresh_path(spark, "model")
     save_model(model, spark, path)
     before = score(data.test, model).withColumnRenamed("shortage_probability", "before")
     after = score(before.drop("predicted_shortage"), load_model(spark, path))
-    return after.select(
-        "order_number", "product_code", "before", "shortage_probability",
-        (F.col("before") == F.col("shortage_probability")).alias("same"),
+    return after.agg(
+        (F.count("*") > 0).alias("scored"), F.min(F.col("before") == F.col("shortage_probability")).alias("same")
     )
 
 
@@ -189,3 +191,49 @@ def s12_both(spark, d):
     failed = read_checked(spark, errors).drop("error", "mail_subject", "mail_body").withColumnRenamed("customer_email", "email")
     both = found.unionByName(failed.withColumn("status", F.lit("not_found")), allowMissingColumns=True)
     return rounded(both)
+
+
+# Lines of a CSV file of which some are broken: a date as quantity, a missing or a surplus field, plain text.
+_BROKEN_SQL = """
+SELECT order_number, CASE order_number % 41 WHEN 1 THEN concat_ws(',', CAST(order_number AS {text}), CAST(product_code AS {text}), 'many', '1')
+         WHEN 2 THEN concat_ws(',', CAST(order_number AS {text}), CAST(product_code AS {text}))
+         WHEN 3 THEN concat_ws(',', CAST(order_number AS {text}), CAST(product_code AS {text}), '1', '2', '3')
+         WHEN 4 THEN concat('no line of order ', CAST(order_number AS {text}))
+         WHEN 5 THEN concat_ws(',', CAST(order_number AS {text}), '', '1', '')
+         ELSE concat_ws(',', CAST(order_number AS {text}), CAST(product_code AS {text}), CAST(ordered_qty AS {text}), CAST(received_qty AS {text})) END AS line
+FROM (SELECT order_number, product_code, coalesce(ordered_qty, 1) AS ordered_qty, coalesce(received_qty, 1) AS received_qty FROM purchases)
+"""
+
+
+@query(
+    "s3_quarantine",
+    f"""WITH lines AS ({_BROKEN_SQL.format(text='VARCHAR')}),
+    split AS (SELECT line, order_number % 41 IN (1, 2, 3, 4) AS broken, string_split(line, ',') AS f FROM lines)
+    SELECT CASE WHEN NOT broken THEN CAST(f[1] AS BIGINT) END AS order_number, CASE WHEN NOT broken THEN TRY_CAST(f[2] AS BIGINT) END AS product_code,
+      CASE WHEN NOT broken THEN TRY_CAST(f[3] AS DOUBLE) END AS ordered_qty, CASE WHEN NOT broken THEN TRY_CAST(f[4] AS DOUBLE) END AS received_qty,
+      CASE WHEN broken THEN line END AS line FROM split""",
+)
+def s3_quarantine(spark, d):
+    """A file with broken lines, read back as clean rows and quarantined lines."""
+    path = fresh_path(spark, "purchases")
+    rows = spark.sql(_BROKEN_SQL.format(text="STRING").replace("FROM purchases", "FROM {purchases}"), purchases=view(spark, d, "purchases"))
+    rows.select("line").write.text(path)
+    clean, broken = files.read_csv_checked(spark, path, schemas.PURCHASES, header=False)
+    return clean.unionByName(broken.select("line"), allowMissingColumns=True)
+
+
+_FIRST_MONTH, _LAST_MONTH = date(1995, 3, 15), date(1996, 2, 10)
+
+
+@query(
+    "s7_lines_by_month",
+    f"""SELECT order_number, product_code, order_created_date, CASE WHEN month(order_created_date) = 6 THEN order_qty + 1 ELSE order_qty END AS order_qty
+    FROM dated WHERE order_created_date BETWEEN DATE '{_FIRST_MONTH}' AND DATE '{_LAST_MONTH}'""",
+)
+def s7_months(spark, d):
+    """Lines stored by month; the Junes are written once more with other quantities; a range is read back."""
+    path = fresh_path(spark, "months")
+    lines = shared.stored_lines(spark, d).select("order_number", "product_code", "order_created_date", "order_qty")
+    files.write_by_month(lines, path)
+    files.write_by_month(lines.where(F.month("order_created_date") == 6).withColumn("order_qty", F.col("order_qty") + 1), path)
+    return files.read_months(spark, path, _FIRST_MONTH, _LAST_MONTH)
