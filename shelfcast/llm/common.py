@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +34,22 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1_000_00
             yield batch.slice(begin)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, which gives its memory back when a task's batches end: workers live on beside later, JVM-only stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """Smallest key of each non-empty range of a split into ``parts`` ranges.
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import chunks
+from .common import chunks, lean
 from .shingles import mix
 
 ORDER = 5
@@ -47,6 +47,8 @@ MOST_BYTES, ENTRY_BYTES = 256_000_000, 24
 QUANTILE, MARGIN = 0.999, 1.0
 _BITS = 12
 _SLICE = 1_000_000
+#: Symbols of a slice that a task looks at at once, and n-grams of a language that it holds before it folds them or hands them on.
+_AT_ONCE, _HELD = 300_000, 400_000
 U = np.uint64
 
 
@@ -119,16 +121,16 @@ def _counted(batches):
                 [pa.array([lang] * len(part)), pa.array(part), pa.array(counts[a : a + 50_000])], ["lang", "code", "n"]
             )
 
-    for batch in chunks(batches, "text", _SLICE):
+    for batch in chunks(batches, "text", _AT_ONCE):
         texts = batch.column("text").to_numpy(zero_copy_only=False)
         langs = batch.column("lang").to_numpy(zero_copy_only=False)
         for lang in sorted(set(langs)):
             code, _ = _codes([s for t in texts[langs == lang] for s in _sliced(t)])
             unique, counts = np.unique(code, return_counts=True)
             held.setdefault(lang, []).append((unique, counts.astype(np.int64)))
-            if sum(len(c) for c, _ in held[lang]) > 2_000_000:
+            if sum(len(c) for c, _ in held[lang]) > _HELD:
                 held[lang] = [_folded(held[lang])]
-                if len(held[lang][0][0]) > 1_000_000:
+                if len(held[lang][0][0]) > _HELD // 2:
                     yield from rows(lang)
     for lang in list(held):
         yield from rows(lang)
@@ -240,7 +242,7 @@ def most_ngrams(symbols: int) -> int:
 def ngrams(texts: DataFrame) -> DataFrame:
     """Stored: ``lang``, ``order``, ``code`` and ``n``, the count of 5-grams and the continuation count of shorter ones."""
     rows = texts.where("text is not null and lang is not null").select("text", "lang")
-    longest = rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    longest = rows.mapInArrow(lean(_counted), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     longest = materialize(longest, "ngrams")
     all_, last = longest.select("lang", F.lit(ORDER).alias("order"), "code", "n"), longest
     for order in range(ORDER - 1, 0, -1):
@@ -322,7 +324,7 @@ def predict(docs: DataFrame, models: LanguageModels, *keep: Column) -> DataFrame
     def run(batches):
         own = shared.value
         names = np.array([*own.languages, UNKNOWN], object)
-        for batch in chunks(batches, "_text", _SLICE):
+        for batch in chunks(batches, "_text", _AT_ONCE):
             texts = [t or "" for t in batch.column("_text").to_numpy(zero_copy_only=False).tolist()]
             parts = [_sliced(t) for t in texts]
             rows = len(texts)
@@ -343,7 +345,7 @@ def predict(docs: DataFrame, models: LanguageModels, *keep: Column) -> DataFrame
             made = [pa.array(names[pred], pa.string()), pa.array(score), pa.array(lowest, from_pandas=True), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([*arrays, *made], [*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy", "n_symbols"])
 
-    return picked.mapInArrow(run, f"{schema}{', ' if schema else ''}{added}")
+    return picked.mapInArrow(lean(run), f"{schema}{', ' if schema else ''}{added}")
 
 
 def _length_class() -> Column:

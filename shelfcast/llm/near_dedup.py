@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .common import chunks, hash128
+from .common import chunks, hash128, lean
 from .components import connected
 from .shingles import band_keys, distinct, normalized, shingles, superminhash
 
@@ -186,7 +186,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> Da
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"), F.col("n_shingles").alias("n_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"), F.col("n_shingles").alias("n_b")), "b")
     possible = with_b.where(100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    return materialize(possible.select("a", "b", "packed_a", "packed_b").mapInArrow(_checks(words, least), "a long, b long, near boolean"), "checked")
+    return materialize(possible.select("a", "b", "packed_a", "packed_b").mapInArrow(lean(_checks(words, least)), "a long, b long, near boolean"), "checked")
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -199,7 +199,7 @@ def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col:
     """Every row with ``n_shingles`` and the ``mark`` of its words; per mark its ``label`` and ``component``, the smallest id."""
     picked = docs.select(*_key(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "doc_id long, v1 long, v2 long, n_shingles long, mark binary, node long, keys array<long>, packed binary"
-    signed = materialize(picked.mapInArrow(_signatures(words), schema), "signed")
+    signed = materialize(picked.mapInArrow(lean(_signatures(words)), schema), "signed")
 
     # equal texts: one row stands for all, the first by id, wherever it lies
     texts_ids = signed.where("mark is not null").groupBy("mark", "node").agg(
@@ -236,7 +236,7 @@ def _components(docs: DataFrame, words: int, least: int, id_col: str, text_col:
         placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
         with_text = placed.join(texts.select("node", "packed"), "node")
         order = ["key", "i", "j"]
-        met = with_text.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_met(words, least), "a long, b long")
+        met = with_text.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lean(_met(words, least)), "a long, b long")
         more = materialize(met, "met")
         if not more.isEmpty():
             labels = connected(links.unionByName(more))
