@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ALERT_FROM, CRITICAL, NOTIFIED, PENDING
 from ..functions.labels import known, risk_level
+from ..storage import materialize
 from .joins import attach
 
 
@@ -101,7 +102,8 @@ def category_members(products: DataFrame) -> DataFrame:
 
 def notified_status(actions: DataFrame, notified: DataFrame) -> DataFrame:
     """Whether the customer of each action was already notified."""
-    done = notified.select("order_number").distinct().withColumn("_done", F.lit(True))
+    # stored, as it is measured before it is joined
+    done = materialize(notified.select("order_number").distinct().withColumn("_done", F.lit(True)), "notified")
     status = F.when(F.col("_done"), NOTIFIED).otherwise(PENDING)
     return attach(actions, done, ["order_number"]).withColumn("status", status).drop("_done")
 

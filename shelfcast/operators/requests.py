@@ -32,7 +32,10 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     )
     # steps of their own, so that no text is taken out of the payload or trimmed twice
     texts = fields.select(*[pl.number_text_of(F.col(name)).alias(name) for name in NUMBER_FIELDS], pl.text(F.col("customer_email")).alias("customer_email"))
-    return texts.select(*[pl.number_of_plain(F.col(name)).alias(name) for name in NUMBER_FIELDS], "customer_email")
+    numbers = F.struct(*[pl.number_of_plain(F.col(name)).alias(name) for name in NUMBER_FIELDS], "customer_email")
+    # a generator of one row: filters on numbers stay above it, where they would else be
+    # moved below the parsing with all of it written out in them, once for every mention
+    return texts.select(F.inline(F.array(numbers)))
 
 
 def look_up(parsed: DataFrame, actions: DataFrame, **bounds) -> DataFrame:

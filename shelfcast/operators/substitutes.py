@@ -66,7 +66,8 @@ def substitute_rows(
                 lambda e: F.array_repeat(e.product_code, F.least(e["_copies"], F.lit(n)).cast("int")),
             )
         )
-        picks = F.flatten(F.array_repeat(once, times))
+        # only the first n of a round can be picked, and no more than n rounds are needed
+        picks = F.flatten(F.array_repeat(F.slice(once, 1, n), times))
     candidates = listed.select(
         "product_code", "category", F.posexplode(F.slice(picks, 1, n)).alias("_at", "substitute")
     )

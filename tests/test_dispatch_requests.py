@@ -217,8 +217,10 @@ def test_a_repeated_batch_adds_nothing(spark, action_list, rows, tmp_path):
 
 
 def test_payloads_are_parsed_once_for_both_outputs(spark, action_list):
-    plan = rq.check_requests(payloads(spark), action_list)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("parse_json") + plan.count("parseJson") == 1
+    routed = rq.check_requests(payloads(spark), action_list)
+    for rows in (routed, rq.found_messages(routed), rq.error_rows(routed), rq.log_rows(routed)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") + plan.count("parseJson") == 1
 
 
 def test_requests_that_match_nothing_have_no_key(spark, action_list):

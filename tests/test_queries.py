@@ -26,7 +26,7 @@ def database():
 
 #: Queries that train models: tests/test_models.py covers the parts, tools/check_queries.py the rows.
 TRAINING = {
-    "m3_logistic_regression", "m4_random_forest", "m5_boosted_trees", "m6_predict", "m7_feature_importance", "f8_score", "f10_run_dispatch",
+    "m3_logistic_regression", "m4_random_forest", "m5_boosted_trees", "m6_predict", "m7_feature_importance", "m7_boosted_importance", "f8_score", "f10_run_dispatch",
     "f11_product_status", "s10_save_load_model",
 }
 

@@ -8,11 +8,12 @@ from shelfcast.functions.labels import verdict
 from shelfcast.learners import BEST, fit_boosted, fit_logistic, load_model, save_model, score
 from shelfcast.operators import dispatch
 from shelfcast.operators import requests as rq
-from shelfcast.operators.cleaning import app_clean
+from shelfcast.operators.cleaning import app_clean, product_master
 from shelfcast.operators.explain import explain, explain_text
 from shelfcast.operators.features import engineer_features
 from shelfcast.operators.serving import serve_features
 from shelfcast.operators.stats import load_bucketed_stats, save_bucketed_stats, serving_stats, stored
+from shelfcast.operators.substitutes import substitutes
 from shelfcast.plans import best_model, prepare_from_sales, product_status, run_dispatch
 from shelfcast.sources import read_actions, read_sales_typed
 from shelfcast.storage import fresh_path, materialize
@@ -109,6 +110,31 @@ def f4(spark, d):
     )
 
 
+_REPEATED = "SELECT * FROM products UNION ALL SELECT * FROM products WHERE CAST(salesUnitGtin AS BIGINT) % 10 IN (0, 3)"
+
+
+@query(
+    "f4_substitutes_repeated",
+    f"""WITH listed AS (SELECT category, salesUnitGtin AS code, count(*) AS copies FROM ({_REPEATED}) GROUP BY 1, 2),
+    entries AS (
+      SELECT a.code AS product_code, coalesce(a.category, '') AS place, unnest(range(a.copies)) AS round, b.code AS substitute, b.copies
+      FROM listed a JOIN listed b ON a.category IS NOT DISTINCT FROM b.category AND a.code <> b.code),
+    each AS (SELECT product_code, place, round, substitute, unnest(range(copies)) AS copy FROM entries),
+    ranked AS (SELECT product_code, substitute, row_number() OVER (PARTITION BY product_code ORDER BY place, round, substitute, copy) AS rank FROM each)
+    SELECT product_code, CAST(rank AS INTEGER) AS rank, substitute FROM ranked WHERE rank <= 5""",
+)
+def f4_repeated(spark, d):
+    """The list without removal of repeats: a product listed twice is offered twice, and gets its list twice."""
+    products = view(spark, d, "products")
+    again = products.unionAll(products.where(F.col("salesUnitGtin").cast("bigint") % 10 == 0)).unionAll(
+        products.where(F.col("salesUnitGtin").cast("bigint") % 10 == 3)
+    )
+    lists = substitutes(product_master(again), view(spark, d, "replacements"), 5, distinct=False)
+    return lists.select("product_code", F.posexplode("substitutes").alias("at", "substitute")).select(
+        "product_code", (F.col("at") + 1).alias("rank"), "substitute"
+    )
+
+
 @query(
     "f4_substitute_texts",
     """SELECT k.product_code, CAST(count(substitute) AS INTEGER) AS n,

@@ -202,6 +202,22 @@ def d13_mails(spark, d):
     )
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "d13_request_prompts",
+    f"""SELECT order_number, product_code, customer_number, order_qty, {_sql_text(messages.REQUEST_ROLE % "Example Foods")} AS role,
+    printf({_sql_text(messages.REQUEST_PROMPT)}, o, p, c, q, risk_level, CAST(shortage_probability AS VARCHAR)) AS prompt
+    FROM (SELECT *, {_PLAIN} FROM routed WHERE status = 'found')""",
+)
+def d13_prompts(spark, d):
+    todo = materialize(shared.actions(spark, d), "actions")
+    found = found_messages(check_requests(view(spark, d, "requests"), todo))
+    return found.select("order_number", "product_code", "customer_number", "order_qty", "role", "prompt")
+
+
 @query(
     "d13_error_mails",
     f"""SELECT order_number, product_code, customer_number, order_qty,
