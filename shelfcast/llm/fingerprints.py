@@ -2,9 +2,10 @@
 
 A leaf is a sentence, or a part of a long one; paragraphs end at line ends, sections at
 blank lines. A node's hash covers its children's; the root covers every character of the
-text. The printed fingerprint is the root, then the leaf marks, paragraphs split by
-``,`` and sections by ``;``, so inner nodes can be computed from it: equal roots mean
-equal texts, and a walk down the branches that differ finds the edited paragraphs.
+text. The printed fingerprint is the root, then the first digits of the leaf hashes,
+paragraphs split by ``,`` and sections by ``;``. It holds no hashes of inner nodes: equal
+roots mean equal texts; where roots differ, sections and paragraphs are compared by their
+lists of leaf marks to find the edited paragraphs.
 
 Likeness is the share of leaves that two trees have in common, with repeats:
 ``2 * common / (leaves of both)``; two texts without leaves are alike.

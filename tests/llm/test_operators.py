@@ -235,6 +235,17 @@ def test_quality_of_held_out_rows(spark):
     assert judged and np.mean([a == b for a, b in judged]) > 0.8
 
 
+def test_quality_tells_the_rarer_label_apart(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in queries.table(spark, sf, "labels").collect()}
+    found = queries.QUERIES["op5_quality"](spark, sf).collect()
+    held = [(r["score"], r["predicted"], labels[r["doc_id"]]) for r in found if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    good, bad = [s for s, _, label in held if label == 1], [s for s, _, label in held if label == 0]
+    assert len(bad) >= 5
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.9
+    assert np.mean([p == 0 for _, p, label in held if label == 0]) > 0.6
+
+
 def test_quality_odd_cases(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (4, None), (5, 1)], "doc_id long, quality int")
     assert {round(r["score"], 3) for r in quality.scored(odd, labels, F.lit(True)).collect()} == {1.0}
