@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from shelfcast import config as c
@@ -39,7 +40,11 @@ def test_split_is_by_date(data):
     assert n == int((n + m) * 0.8)
 
 
-def test_models_learn(models, data):
+def test_models_learn(models, data, spark):
+    # observing any table before must not tie the models to the session
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
     rows = {r["model"]: r for r in compare(models, data.test).collect()}
     assert set(rows) == {t.LOGISTIC, t.FOREST, t.BOOSTED}
     assert all(r["roc_auc"] > 0.9 for r in rows.values())
