@@ -3,7 +3,8 @@
 Every line gets a hash; a HyperLogLog sketch of its sites is kept per hash, and sketches
 merge as rows are aggregated, so a line that a third of all documents hold costs one
 sketch per task. Lines whose estimate is near the threshold are counted exactly over
-distinct (line, site) pairs; only the others rely on the estimate. A line that is on at
+distinct (line, site) pairs; no line of several sites is dropped on an estimate, and only
+those far above the threshold are kept on one. A line that is on at
 least ``min_sites`` sites is boilerplate: it stays in the first document that holds it
 (the smallest id) and goes from all others, so no line is lost to the corpus.
 
@@ -52,13 +53,14 @@ def line_sites(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``h1``, ``h2`` and ``first`` (smallest document) of the lines on at least ``min_sites`` sites."""
     error = 1.04 / 2 ** (LOG_REGISTERS / 2)
-    low, high = min_sites * (1 - NEAR * error) - 1, min_sites * (1 + NEAR * error) + 1
+    high = min_sites * (1 + NEAR * error) + 1
     spread = lines.groupBy("h1", "h2").agg(
-        F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"), F.min("doc").alias("first")
-    )
-    estimated = materialize(
-        spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low), "spread"
+        F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"), F.min("doc").alias("first"),
+        (F.min("site") != F.max("site")).alias("several"),
     )
+    # a line of one site is known exactly; what has several and no high estimate is counted
+    some = spread if min_sites < 2 else spread.where("several")
+    estimated = materialize(some.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
     sure = estimated.where(F.col("sites") > high)
     near = estimated.where(F.col("sites") <= high)
     pairs = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.min("doc").alias("first"))

@@ -42,6 +42,8 @@ PLACES, BANDS = 128, 32
 #: Texts and shingles of a block, in which the texts of a bucket are compared with each other.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 500_000
 _CACHED_SHINGLES = 2_000_000
+#: Bytes of text that a task signs at once; its tables take some hundred times as much.
+SIGNED_BYTES = 250_000
 
 
 def _signatures(words: int):
@@ -49,7 +51,7 @@ def _signatures(words: int):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
-        for rows in chunks(batches, "text"):
+        for rows in chunks(batches, "text", SIGNED_BYTES):
             texts = [normalized(t or "") for t in rows.column("text").to_numpy(zero_copy_only=False).tolist()]
             hashes, at = shingles(texts, words)
             sets = distinct(hashes, at)
