@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import iso_timestamp
 from ..functions import payload as pl
 from ..functions.text import number_text
+from ..storage import materialize
 from . import messages as m
 from .joins import attach, fits_broadcast
 
@@ -68,7 +69,13 @@ def look_up(parsed: DataFrame, actions: DataFrame, **bounds) -> DataFrame:
         # Keys of a stream cannot be counted beforehand, so a large list is joined by plain shuffles.
         joined = keyed.join(F.broadcast(known) if fits_broadcast(known, **bounds) else known, keys, "left")
     else:
-        joined = attach(keyed, known, keys, **bounds)
+        small = bounds.pop("small", None)
+        if small is None:
+            small = fits_broadcast(known, **{k: v for k, v in bounds.items() if k.startswith("max_broadcast_")})
+        if not small:
+            # a shuffled join reads the requests twice, for their hot keys first; they are parsed once
+            keyed = materialize(keyed, "requests")
+        joined = attach(keyed, known, keys, small=small, **bounds)
     return joined.withColumn("_order", F.col("_found")).drop("_product", "_customer", "_qty", "_found")
 
 
