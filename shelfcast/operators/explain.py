@@ -46,6 +46,17 @@ def _top_factors(scored: DataFrame, importances: Mapping[str, float], k: int, fe
     return F.slice(F.array_sort(F.array(*entries)), 1, k)
 
 
+def _four_decimals(value: Column) -> Column:
+    """A double as ``%.4f`` prints it; a decimal does it several times faster for ordinary numbers."""
+    size = F.abs(value)
+    return (
+        F.when(value.isNull(), F.lit("null"))
+        .when(value.cast("string") == "0.0", F.lit("0.0000"))
+        .when((size >= 0.0001) & (size < 1e14), value.cast("decimal(20,4)").cast("string"))
+        .otherwise(F.format_string("%.4f", value))
+    )
+
+
 def explain(
     scored: DataFrame,
     importances: Mapping[str, float],
@@ -74,8 +85,8 @@ def explain_text(
     present = [c for c in keys if c in scored.columns]
     lines = F.transform(
         _top_factors(scored, importances, k, features),
-        lambda e, i: F.format_string(
-            "  %2d. %s %.4f", i + 1, F.rpad(e.feature, 40, "."), e.value
+        lambda e, i: F.concat(
+            F.lpad((i + 1).cast("string"), 4, " "), F.lit(". "), F.rpad(e.feature, 40, "."), F.lit(" "), _four_decimals(e.value)
         ),
     )
     return scored.select(
