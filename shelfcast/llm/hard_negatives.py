@@ -343,7 +343,7 @@ def hard_negatives(
         scores = one.groupBy("key").agg(F.sort_array(F.collect_set("score"), asc=False).alias("scores"))
         hundredths = F.lit(least).cast("decimal(5,0)") / F.lit(100).cast("decimal(3,0)")
         floor = lambda p: F.ceil(p.cast("decimal(20,0)") * hundredths).cast("long")
-        windows = F.filter(F.transform("scores", lambda p: F.struct(p.alias("ceil"), floor(p).alias("floor"))), lambda w: w["floor"] <= w["ceil"])
+        windows = F.filter(F.transform("scores", lambda p: F.struct(p.alias("ceil"), floor(p).alias("floor"))), lambda w: (w["floor"] <= w["ceil"]) & (w["ceil"] < _TOP))
         wanting = asks.join(scores, "key").select("key", "label", "vector", F.lit(False).alias("same"), "part", windows.alias("wants"))
         wanting = materialize(wanting.where(F.size("wants") > 0), "wanting")
         below = search(wanting, index, placed, n_negatives)
