@@ -21,29 +21,36 @@ def feature_importance(importances: DataFrame, features: DataFrame) -> DataFrame
     )
 
 
-def _top_factors(scored: DataFrame, importances: Mapping[str, float], k: int, features) -> Column:
-    """Array of the k strongest factors of a row.
+class _Factors:
+    """The k strongest factors of each row, as ``top`` beside ``values``.
 
     The importances are a fixed short list, so they enter as literals. All the
-    work stays inside the row: an array of 26 entries is sorted and cut, nothing
-    is shuffled. Unknown contributions come last, ties follow the feature order.
+    work stays inside the row: an array of 26 short entries is sorted and cut, nothing
+    is shuffled. Entries hold only the sort key and the feature's place, from which the
+    rest is looked up for the k that remain. Unknown contributions come last, ties
+    follow the feature order.
     """
-    entries = []
-    for i, name in enumerate(f for f in features if f in scored.columns):
-        value = known(F.col(name))
-        weight = F.lit(float(importances.get(name, 0.0)))
-        part = value * weight
-        entries.append(
-            F.struct(
-                F.coalesce(-F.abs(part), F.lit(1.0)).alias("order"),
-                F.lit(i).alias("i"),
-                F.lit(name).alias("feature"),
-                value.alias("value"),
-                weight.alias("importance"),
-                part.alias("contribution"),
-            )
+
+    def __init__(self, scored: DataFrame, importances: Mapping[str, float], k: int, features, keys):
+        names = [f for f in features if f in scored.columns]
+        self.names = F.array(*[F.lit(n) for n in names])
+        self.weights = F.array(*[F.lit(float(importances.get(n, 0.0))) for n in names])
+        present = [c for c in keys if c in scored.columns]
+        values = scored.select(*present, F.array(*[known(F.col(n)) for n in names]).cast("array<double>").alias("_values"))
+        entries = F.transform(
+            "_values",
+            lambda v, i: F.struct(F.coalesce(-F.abs(v * F.get(self.weights, i)), F.lit(1.0)).alias("order"), i.alias("i")),
         )
-    return F.slice(F.array_sort(F.array(*entries)), 1, k)
+        self.rows = values.withColumn("_top", F.slice(F.sort_array(entries), 1, k))
+
+    def feature(self, entry: Column) -> Column:
+        return F.get(self.names, entry["i"])
+
+    def value(self, entry: Column) -> Column:
+        return F.get(F.col("_values"), entry["i"])
+
+    def importance(self, entry: Column) -> Column:
+        return F.get(self.weights, entry["i"])
 
 
 def _four_decimals(value: Column) -> Column:
@@ -66,11 +73,16 @@ def explain(
 ) -> DataFrame:
     """The k features of each row with the largest |value · importance|, one per row."""
     present = [c for c in keys if c in scored.columns]
-    top = _top_factors(scored, importances, k, features)
-    return scored.select(*present, F.posexplode(top).alias("_at", "_e")).select(
+    factors = _Factors(scored, importances, k, features, keys)
+    # an outer one, since for a plain one Spark filters on the array's size, which sorts every row twice
+    exploded = factors.rows.select(*present, "_values", F.posexplode_outer("_top").alias("_at", "_e"))
+    entry = F.col("_e")
+    value, importance = factors.value(entry), factors.importance(entry)
+    return exploded.where(F.col("_at").isNotNull()).select(
         *present,
         (F.col("_at") + 1).alias("rank"),
-        "_e.feature", "_e.value", "_e.importance", "_e.contribution",
+        factors.feature(entry).alias("feature"), value.alias("value"), importance.alias("importance"),
+        (value * importance).alias("contribution"),
     )
 
 
@@ -83,12 +95,14 @@ def explain_text(
 ) -> DataFrame:
     """The same as one text per scored row: a heading and a numbered line per factor."""
     present = [c for c in keys if c in scored.columns]
+    factors = _Factors(scored, importances, k, features, keys)
     lines = F.transform(
-        _top_factors(scored, importances, k, features),
+        "_top",
         lambda e, i: F.concat(
-            F.lpad((i + 1).cast("string"), 4, " "), F.lit(". "), F.rpad(e.feature, 40, "."), F.lit(" "), _four_decimals(e.value)
+            F.lpad((i + 1).cast("string"), 4, " "), F.lit(". "), F.rpad(factors.feature(e), 40, "."), F.lit(" "),
+            _four_decimals(factors.value(e)),
         ),
     )
-    return scored.select(
+    return factors.rows.select(
         *present, F.concat_ws("\n", F.lit("📊 Top Risk Factors:"), lines).alias("explanation")
     )
