@@ -31,8 +31,9 @@ def parse_requests(requests: DataFrame) -> DataFrame:
         *[pl.number_field(F.col("_json"), field).alias(name) for name, field in NUMBER_FIELDS.items()],
         pl.text_field(F.col("_json"), EMAIL_FIELD).alias("customer_email"),
     )
-    # steps of their own, so that no text is taken out of the payload or trimmed twice
-    texts = fields.select(*[pl.number_text_of(F.col(name)).alias(name) for name in NUMBER_FIELDS], pl.text(F.col("customer_email")).alias("customer_email"))
+    # steps of their own, so that no kind or text is taken out of the payload, or trimmed, twice
+    fields = fields.withColumns({f"_kind_{name}": F.schema_of_variant(F.col(name)) for name in NUMBER_FIELDS})
+    texts = fields.select(*[pl.number_text_of(F.col(name), F.col(f"_kind_{name}")).alias(name) for name in NUMBER_FIELDS], pl.text(F.col("customer_email")).alias("customer_email"))
     numbers = F.struct(*[pl.number_of_plain(F.col(name)).alias(name) for name in NUMBER_FIELDS], "customer_email")
     # a generator of one row: filters on numbers stay above it, where they would else be
     # moved below the parsing with all of it written out in them, once for every mention
