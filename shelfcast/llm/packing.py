@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .common import lean
 from .tokens import encoded_texts, encoder
 
 SIZE = 2048
@@ -101,12 +102,22 @@ def pack(items: DataFrame, length: str = "length", size: int = SIZE) -> DataFram
     ``items`` must have lengths from 1 to ``size``; columns of its own named like the
     added ones are refused.
     """
-    clash = {"sequence_id", "offset", "bin", "at", "fill", "open", "parent", "shift"} & set(items.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    return _packed(items, None, schema, items.columns, length, size)
+
+
+def _packed(rows: DataFrame, making, schema: str, columns: list[str], length: str, size: int) -> DataFrame:
+    """Packs the items that ``making`` yields from batches of ``rows``, by default the rows themselves.
+
+    Items are made and packed in one Python worker: two operators would hold two workers for each task.
+    """
+    clash = {"sequence_id", "offset", "bin", "at", "fill", "open", "parent", "shift"} & set(columns)
     if clash:
         raise ValueError(f"columns in the way: {sorted(clash)}")
     added = "bin long, at long, fill long, open boolean"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    placed = materialize(items.mapInArrow(_packing(size, length, 0), f"{schema}, {added}"), "placed")
+    first = _packing(size, length, 0)
+    run = first if making is None else lambda batches: first(making(batches))
+    placed = materialize(rows.mapInArrow(lean(run), f"{schema}, {added}"), "placed")
 
     # one row for each bin that is still open: the piece at offset 0 stands for it
     left = placed.where("open and at = 0").select(F.col("bin").alias("item"), F.col("fill").alias("length"))
@@ -115,7 +126,7 @@ def pack(items: DataFrame, length: str = "length", size: int = SIZE) -> DataFram
     while count > 1 and level < 64:
         tasks = max(1, -(-count // WINDOW))
         dealt = left.repartition(tasks, F.xxhash64("item", F.lit(level))).sortWithinPartitions(F.desc("length"), "item")
-        joined = materialize(dealt.mapInArrow(_packing(size, "length", level), f"item long, length long, {added}"), "round")
+        joined = materialize(dealt.mapInArrow(lean(_packing(size, "length", level)), f"item long, length long, {added}"), "round")
         rounds.append(joined.select("item", F.col("bin").alias("parent"), F.col("at").alias("shift")))
         left = joined.where("open and at = 0").select(F.col("bin").alias("item"), F.col("fill").alias("length"))
         bins = joined.where("at = 0").count()
@@ -132,7 +143,7 @@ def pack(items: DataFrame, length: str = "length", size: int = SIZE) -> DataFram
             final = own.join(above, "parent", "left").select(
                 "item", F.coalesce("top", "parent").alias("parent"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")
             )
-    names = [F.col(f"`{c}`") for c in items.columns]
+    names = [F.col(f"`{c}`") for c in columns]
     if final is None:
         return placed.select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     done = placed.where("not open").select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
@@ -142,10 +153,8 @@ def pack(items: DataFrame, length: str = "length", size: int = SIZE) -> DataFram
     )
 
 
-def pieces(
-    docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Every whole text as pieces of at most ``size`` ids: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and ``ids``."""
+def _cut(tokenizer: str, end_id: int, size: int, with_ids: bool):
+    """From batches of ``doc_id`` and ``text`` to pieces."""
 
     def run(batches):
         width = encoder(tokenizer).kind.itemsize
@@ -161,11 +170,28 @@ def pieces(
                 ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)],
             )
 
-    picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return picked.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return run
+
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, with_ids: bool = True, **columns: str) -> DataFrame:
+
+def _piece_schema(with_ids: bool) -> str:
+    return "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+
+
+def pieces(
+    docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Every whole text as pieces of at most ``size`` ids: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and ``ids``."""
+    return _texts(docs, id_col, text_col).mapInArrow(lean(_cut(tokenizer, end_id, size, with_ids)), _piece_schema(with_ids))
+
+
+def packed_documents(
+    docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """All pieces of all texts with their place: ``sequence_id`` and ``offset``."""
-    return pack(pieces(docs, tokenizer, end_id, size, with_ids, **columns), "length", size)
+    schema = _piece_schema(with_ids)
+    columns = [field.split()[0] for field in schema.split(", ")]
+    return _packed(_texts(docs, id_col, text_col), _cut(tokenizer, end_id, size, with_ids), schema, columns, "length", size)
