@@ -152,7 +152,7 @@ _LATER_FROM = 1997
 
 def _continued(spark, d, *names):
     """Statistics after history was stored, later years were added, and the last one came once more."""
-    lines = shared.stored_lines(spark, d)
+    lines = shared.stored_lines(spark, d, without=("picking_confirmed_date", "picking_picked_qty", "salesUnit"))
     path, year = fresh_path(spark, "states"), F.year("order_created_date")
     old = F.coalesce(year < _LATER_FROM, F.lit(True))
     states.store_states(states.line_states(lines.where(old), year, names=names), path)
