@@ -6,7 +6,7 @@ from shelfcast.operators import stats as st
 from shelfcast.operators.cleaning import join_products, product_master
 from shelfcast.operators.explain import feature_importance
 from shelfcast.operators.features import replacement_feature
-from shelfcast.operators.joins import ROWS, attach
+from shelfcast.operators.joins import ROWS, attach, which_fit
 from shelfcast.operators.orders import notified_status
 from shelfcast.operators.requests import look_up, parse_requests
 from shelfcast.operators.substitutes import substitute_details, substitute_rows
@@ -25,6 +25,8 @@ _SINGLE = (
     ("plant", ["plant"]),
     ("storage", ["storage_location"]),
 )
+#: Columns of the lines that no statistic and no result of ``j1`` reads.
+_NOT_IN_STATS = ("salesUnit", "picking_picked_qty", "picking_confirmed_date")
 
 
 @query(
@@ -41,10 +43,14 @@ _SINGLE = (
     FROM features d""",
 )
 def j1(spark, d):
-    lines = shared.stored_lines(spark, d)
-    tables = st.stored(st.training_stats(lines))
-    for name, keys in _SINGLE:
-        lines = attach(lines, tables[name], keys, weights=tables[name].select(*keys, ROWS))
+    lines = shared.stored_lines(spark, d, without=_NOT_IN_STATS)
+    tables = st.training_stats(lines)
+    # statistics of pairs are not joined here
+    tables = st.stored({name: tables[name] for name, _ in _SINGLE})
+    # tables that are broadcast come first: a rate is shorter than the text that it is looked up by, and the lines are shuffled afterwards
+    small = which_fit(tables)
+    for name, keys in sorted(_SINGLE, key=lambda s: not small[s[0]]):
+        lines = attach(lines, tables[name], keys, weights=tables[name].select(*keys, ROWS), small=small[name])
     columns = [
         "order_number", "product_code", "customer_number", "order_qty", "product_shortage_rate",
         "product_order_qty_std", "category_shortage_rate", "temp_condition_shortage_rate",
