@@ -3,15 +3,18 @@
 Training counts the character 5-grams of all training texts in Spark: tasks fold their
 own texts first, then counts meet by (language, n-gram). Continuation counts of all lower
 orders are aggregations of the full table of the order above, and discounts come from the
-counts of counts of every order. Only then are rarer n-grams pruned, by their order's
-smallest kept count, and what their discounted probability was goes to the back-off weight
-of their context, so a context's probabilities still sum to one.
-
-A language's model has at most ``most_ngrams`` entries per order. That bound grows with the
-language's text, by ``MOST_NGRAMS`` for each doubling beyond ``SYMBOLS``, and all models
-together stay within ``MOST_BYTES``, which is checked on counts before anything is gathered.
-Executors pack a language's kept rows to a sorted array of n-gram hashes with probabilities,
-and one of context hashes with back-off weights, per order. The driver only passes these on.
+counts of counts of every order. All n-grams are kept. Only a caller who says how many
+entries an order may have gets rarer ones pruned, by their order's smallest kept count; what
+their discounted probability was goes to the back-off weight of their context, so a
+context's probabilities still sum to one.
+
+Executors pack a language's rows to a sorted array of n-gram hashes with probabilities, and
+one of context hashes with back-off weights, per order. A language with more than
+``SLICE_NGRAMS`` n-grams is packed in slices by the two symbols before the last one: an
+n-gram, its context and its shorter forms down to order 3 share these, and orders 1 and 2
+are in every slice. The driver only passes models on. Those that together exceed
+``MOST_BYTES``, which is known from counts, are stored, and the texts are read in several
+passes, each with some of the slices, whose sums meet by text.
 
 A text gets the language of lowest cross-entropy per character. It is rejected if that
 entropy is above what training texts of that language and length reach, by a margin.
@@ -39,13 +42,16 @@ from .shingles import mix
 
 ORDER = 5
 UNKNOWN = "und"
-#: N-grams of an order kept per language of so many symbols, and again for each doubling; rarer ones are left out of the model.
-MOST_NGRAMS, SYMBOLS = 250_000, 50_000_000
-#: All models together, and what an entry with its context takes at most.
+#: N-grams of a language that are packed at once, about; more are packed in slices.
+SLICE_NGRAMS = 2_000_000
+#: Models that a worker holds at once, about, and what an entry with its context takes at most.
 MOST_BYTES, ENTRY_BYTES = 256_000_000, 24
+#: Orders that every slice has.
+_SHARED_ORDERS = 2
 #: Texts are rejected above this quantile of training texts plus this many nats a character.
 QUANTILE, MARGIN = 0.999, 1.0
 _BITS = 12
+_SPREAD = 2_654_435_761
 _SLICE = 1_000_000
 #: Symbols of a slice that a task looks at at once, and n-grams of a language that it holds before it folds them or hands them on.
 _AT_ONCE, _HELD = 300_000, 400_000
@@ -211,10 +217,38 @@ class KneserNey:
         return result
 
 
+def _slice_of(code, slices):
+    """Slice of n-grams, by the two symbols before their last; for numpy arrays of codes."""
+    return ((((code >> U(_BITS)) & _mask(2)) * U(_SPREAD)) >> U(16)) % U(slices)
+
+
+def _slice_column(slices: int) -> Column:
+    """As ``_slice_of``, for the column ``code``; n-grams of the first orders come in every slice."""
+    pair = F.shiftright("code", _BITS).bitwiseAND(F.lit(int(_mask(2))))
+    own = F.shiftright(pair * F.lit(_SPREAD), 16) % F.lit(slices)
+    every = F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))
+    return F.explode(F.when(F.col("order") <= _SHARED_ORDERS, every).otherwise(F.array(own)))
+
+
+class SlicedModel:
+    """One language in slices. N-grams of slices that are not there have probability 1, which adds nothing to a sum of logarithms."""
+
+    def __init__(self, slices: int, parts: dict[int, KneserNey]):
+        self.slices, self.parts = slices, parts
+
+    def probabilities(self, codes: np.ndarray) -> np.ndarray:
+        result = np.ones(len(codes))
+        own = _slice_of(codes, self.slices)
+        for at, part in self.parts.items():
+            mine = np.flatnonzero(own == U(at))
+            result[mine] = part.probabilities(codes[mine])
+        return result
+
+
 class LanguageModels:
-    """The models of all languages."""
+    """The models of all languages, or what one pass takes of them."""
 
-    def __init__(self, models: dict[str, KneserNey]):
+    def __init__(self, models: dict[str, KneserNey | SlicedModel]):
         self.languages = sorted(models)
         self.models = [models[x] for x in self.languages]
 
@@ -234,9 +268,25 @@ class LanguageModels:
         return sums, n, letters
 
 
-def most_ngrams(symbols: int) -> int:
-    """N-grams of an order kept for a language whose training texts have so many symbols."""
-    return int(MOST_NGRAMS * (1 + np.log2(1 + symbols / SYMBOLS)))
+@dataclass
+class StoredModels:
+    """Models too large to be held at once: a stored table of packed slices, and the passes that read them all."""
+
+    table: DataFrame
+    languages: list[str]
+    slices: int
+    passes: int
+
+    def part(self, at: int) -> LanguageModels:
+        rows = self.table.where(F.col("slice") % self.passes == at)
+        return _gathered(rows, self.languages, self.slices)
+
+
+def _gathered(packed: DataFrame, languages: list[str], slices: int) -> LanguageModels:
+    parts: dict[str, dict[int, KneserNey]] = {lang: {} for lang in languages}
+    for r in packed.toLocalIterator():
+        parts[r["lang"]][r["slice"]] = pickle.loads(r["model"])
+    return LanguageModels({lang: own[0] if slices == 1 else SlicedModel(slices, own) for lang, own in parts.items()})
 
 
 def ngrams(texts: DataFrame) -> DataFrame:
@@ -252,39 +302,29 @@ def ngrams(texts: DataFrame) -> DataFrame:
     return materialize(all_, "levels")
 
 
-def _limits(counts: DataFrame, most: int | None) -> list[tuple[str, int, int, float]]:
+def _limits(counts: DataFrame, most: int | None) -> tuple[list[tuple[str, int, int, float]], dict[str, tuple[int, int]]]:
     """Per language and order, the smallest count that is kept and the discount, from a histogram of counts.
 
+    Also per language how many n-grams are kept, and how many of these are of the orders that every slice has.
     Counts below 1000 have a step each, larger ones eight for each doubling.
     """
     step = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.lit(1000) + F.floor(F.log2("n") * 8)).cast("int")
     spread: dict[tuple[str, int], list] = {}
-    for r in counts.groupBy("lang", "order", step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.sum("n").alias("sum")).collect():
-        spread.setdefault((r["lang"], r["order"]), []).append((r["n"], r["k"], r["sum"]))
-    symbols = {lang: sum(s for _, _, s in own) for (lang, order), own in spread.items() if order == ORDER}
-
-    def kept(share: float) -> tuple[int, dict]:
-        entries, least = 0, {}
-        for (lang, order), own in spread.items():
-            budget, taken = max(1, int(share * (most or most_ngrams(symbols[lang])))), 0
-            for n, k, _ in sorted(own, reverse=True):
-                # an order keeps at least its most frequent step; single symbols are all kept
-                if taken and taken + k > budget and order > 1:
-                    break
-                least[lang, order], taken = n, taken + k
-            entries += taken
-        return entries, least
-
-    share = 1.0
-    entries, least = kept(share)
-    while entries * ENTRY_BYTES > MOST_BYTES and share > 1e-4:
-        share /= 2
-        entries, least = kept(share)
-    made = []
+    for r in counts.groupBy("lang", "order", step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect():
+        spread.setdefault((r["lang"], r["order"]), []).append((r["n"], r["k"]))
+    made, kept = [], {}
     for (lang, order), own in spread.items():
-        ones, twos = (sum(k for n, k, _ in own if n == wanted) for wanted in (1, 2))
-        made.append((lang, order, least[lang, order], min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1))
-    return made
+        least, taken = 0, 0
+        for n, k in sorted(own, reverse=True):
+            # an order keeps at least its most frequent step; single symbols are all kept
+            if most is not None and taken and taken + k > max(1, most) and order > 1:
+                break
+            least, taken = n, taken + k
+        ones, twos = (sum(k for n, k in own if n == wanted) for wanted in (1, 2))
+        made.append((lang, order, least, min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1))
+        total, shared = kept.get(lang, (0, 0))
+        kept[lang] = (total + taken, shared + taken * (order <= _SHARED_ORDERS))
+    return made, kept
 
 
 def _packed(symbols: int):
@@ -292,15 +332,15 @@ def _packed(symbols: int):
         order, code, share = (table.column(c).to_numpy() for c in ("order", "code", "share"))
         levels = [(code[order == o].astype(U), share[order == o]) for o in range(1, ORDER + 1)]
         model = pickle.dumps(KneserNey(levels, symbols))
-        return pa.table({"lang": table.column("lang")[:1], "model": pa.array([model], pa.binary())})
+        return pa.table({"lang": table.column("lang")[:1], "slice": table.column("slice")[:1], "model": pa.array([model], pa.binary())})
 
     return run
 
 
-def train(texts: DataFrame, most: int | None = None) -> LanguageModels:
-    """Models from all rows of ``text``, ``lang``; nulls are left out. ``most`` sets the entries of an order."""
+def train(texts: DataFrame, most: int | None = None) -> LanguageModels | StoredModels:
+    """Models from all rows of ``text``, ``lang``; nulls are left out. ``most`` sets the entries of an order, by default all are kept."""
     counts = ngrams(texts)
-    limits = _limits(counts, most)
+    limits, kept = _limits(counts, most)
     if not limits:
         return LanguageModels({})
     symbols = counts.where("order = 1").select("code").distinct().count() + 1
@@ -309,43 +349,106 @@ def train(texts: DataFrame, most: int | None = None) -> LanguageModels:
     context = Window.partitionBy("lang", "order", F.shiftright("code", _BITS))
     shares = counts.withColumn("total", F.sum("n").over(context)).join(known, ["lang", "order"]).where("n >= least")
     shares = shares.select("lang", "order", "code", (F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("share"))
-    # bounded: what _limits keeps of a language, and MOST_BYTES for all
-    packed = shares.groupBy("lang").applyInArrow(_packed(symbols), "lang string, model binary")
-    return LanguageModels({r["lang"]: pickle.loads(r["model"]) for r in packed.toLocalIterator()})
+    slices = max(-(-total // SLICE_NGRAMS) for total, _ in kept.values())
+    entries = sum(total + (slices - 1) * shared for total, shared in kept.values())
+    passes = min(slices, -(-entries * ENTRY_BYTES // MOST_BYTES))
+    sliced = shares.withColumn("slice", F.lit(0).cast("long") if slices == 1 else _slice_column(slices))
+    packed = sliced.groupBy("lang", "slice").applyInArrow(_packed(symbols), "lang string, slice long, model binary")
+    if passes == 1:
+        return _gathered(packed, list(kept), slices)
+    return StoredModels(materialize(packed, "models"), sorted(kept), slices, passes)
+
+
+_FOUND = "lang_pred string, score double, cross_entropy double, n_symbols long"
+_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
 
 
-def predict(docs: DataFrame, models: LanguageModels, *keep: Column) -> DataFrame:
+def _schema(df: DataFrame) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+
+
+def _totals(batch: pa.RecordBatch, models: LanguageModels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``LanguageModels.totals`` of the texts of a batch, whose very long ones are read in slices."""
+    texts = [t or "" for t in batch.column("_text").to_numpy(zero_copy_only=False).tolist()]
+    parts = [_sliced(t) for t in texts]
+    sums, n, letters = models.totals([s for p in parts for s in p])
+    begins = np.cumsum([0, *[len(p) for p in parts]])[:-1]
+    return np.add.reduceat(sums, begins, axis=0), np.add.reduceat(n, begins), np.logical_or.reduceat(letters, begins)
+
+
+def _decided(sums: np.ndarray, n: np.ndarray, letters: np.ndarray, languages: list[str]) -> list[pa.Array]:
+    """The columns of ``_FOUND`` from summed log-probabilities by text and language."""
+    rows, names = len(n), np.array([*languages, UNKNOWN], object)
+    entropy = -sums / np.maximum(n, 1)[:, None]
+    best = entropy.argmin(axis=1)
+    apart = np.exp(-(entropy - entropy[np.arange(rows), best][:, None]) * np.minimum(n, 200)[:, None])
+    score = np.where(letters, 1 / apart.sum(axis=1), 0.0)
+    lowest = np.where(letters, entropy[np.arange(rows), best], np.nan)
+    pred = np.where(letters, best, len(languages))
+    return [pa.array(names[pred], pa.string()), pa.array(score), pa.array(lowest, from_pandas=True), pa.array(n, pa.int64())]
+
+
+def predict(docs: DataFrame, models: LanguageModels | StoredModels, *keep: Column) -> DataFrame:
     """The kept columns with ``lang_pred``, ``score``, ``cross_entropy`` (nats a symbol) and ``n_symbols`` for each ``text``."""
     picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    added = "lang_pred string, score double, cross_entropy double, n_symbols long"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # within MOST_BYTES
+    if isinstance(models, StoredModels):
+        return _predict_in_passes(picked, models)
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # within MOST_BYTES, about
 
     def run(batches):
         own = shared.value
-        names = np.array([*own.languages, UNKNOWN], object)
         for batch in chunks(batches, "_text", _AT_ONCE):
-            texts = [t or "" for t in batch.column("_text").to_numpy(zero_copy_only=False).tolist()]
-            parts = [_sliced(t) for t in texts]
-            rows = len(texts)
+            rows = batch.num_rows
             if own.languages:
-                sums, n, letters = own.totals([s for p in parts for s in p])
-                begins = np.cumsum([0, *[len(p) for p in parts]])[:-1]
-                sums, n = np.add.reduceat(sums, begins, axis=0), np.add.reduceat(n, begins)
-                letters = np.logical_or.reduceat(letters, begins)
-                entropy = -sums / np.maximum(n, 1)[:, None]
-                best = entropy.argmin(axis=1)
-                apart = np.exp(-(entropy - entropy[np.arange(rows), best][:, None]) * np.minimum(n, 200)[:, None])
-                score = np.where(letters, 1 / apart.sum(axis=1), 0.0)
-                lowest = np.where(letters, entropy[np.arange(rows), best], np.nan)
-                pred = np.where(letters, best, len(own.languages))
+                made = _decided(*_totals(batch, own), own.languages)
             else:
-                n, score, lowest, pred = np.zeros(rows, np.int64), np.zeros(rows), np.full(rows, np.nan), np.zeros(rows, np.int64)
+                made = [pa.array([UNKNOWN] * rows, pa.string()), pa.array(np.zeros(rows)), pa.nulls(rows, pa.float64()), pa.array(np.zeros(rows, np.int64))]
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            made = [pa.array(names[pred], pa.string()), pa.array(score), pa.array(lowest, from_pandas=True), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, *made], [*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy", "n_symbols"])
+            yield pa.RecordBatch.from_arrays([*arrays, *made], [*batch.schema.names[:-1], *_FOUND_NAMES])
+
+    return picked.mapInArrow(lean(run), _schema(picked.drop("_text")) + _FOUND)
 
-    return picked.mapInArrow(lean(run), f"{schema}{', ' if schema else ''}{added}")
+
+def _sums_of_pass(shared):
+    def run(batches):
+        own = shared.value
+        for batch in chunks(batches, "_text", _AT_ONCE):
+            sums, n, letters = _totals(batch, own)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(own.languages), pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), lists, pa.array(n, pa.int64()), pa.array(letters)], ["_row", "sums", "n", "letters"])
+
+    return run
+
+
+def _predict_in_passes(picked: DataFrame, models: StoredModels) -> DataFrame:
+    """``predict`` with the texts, stored and numbered, read once for each part of the models."""
+    numbered = materialize(picked.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    context, passes = picked.sparkSession.sparkContext, None
+    for at in range(models.passes):
+        shared = context.broadcast(models.part(at))
+        sums = numbered.select("_row", "_text").mapInArrow(lean(_sums_of_pass(shared)), "_row long, sums array<double>, n long, letters boolean")
+        sums = materialize(sums, "sums").withColumn("pass", F.lit(at))
+        shared.unpersist()
+        passes = sums if passes is None else passes.unionByName(sums)
+    # a row for each pass, added in their order
+    parts = F.sort_array(F.collect_list(F.struct("pass", "sums")))
+    zeros = F.array(*[F.lit(0.0)] * len(models.languages))
+    total = F.aggregate("parts", zeros, lambda a, p: F.zip_with(a, p["sums"], lambda x, y: x + y))
+    totals = passes.groupBy("_row").agg(parts.alias("parts"), F.first("n").alias("_n"), F.first("letters").alias("_letters"))
+    totals = totals.select("_row", total.alias("_sums"), "_n", "_letters")
+    kept = numbered.drop("_text")
+    joined = kept.join(totals, "_row").select(*[F.col(f"`{c}`") for c in kept.columns if c != "_row"], "_sums", "_n", "_letters")
+    languages = models.languages
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sums = batch.column("_sums").flatten().to_numpy().reshape(-1, len(languages))
+                made = _decided(sums, batch.column("_n").to_numpy(), batch.column("_letters").to_numpy(zero_copy_only=False), languages)
+                arrays = [batch.column(i) for i in range(batch.num_columns - 3)]
+                yield pa.RecordBatch.from_arrays([*arrays, *made], [*batch.schema.names[:-3], *_FOUND_NAMES])
+
+    return joined.mapInArrow(lean(run), _schema(joined.drop("_sums", "_n", "_letters")) + _FOUND)
 
 
 def _length_class() -> Column:
